@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonargrid.llm import leakage, spans
+from sonargrid.llm import leakage, segments, spans
 from sonargrid.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return segments.quiet_stretches(table(spark, d, "samples"))
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return segments.pieces(table(spark, d, "samples"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -25,5 +33,5 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_removed, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p6_found, p6_removed, p8_found, p8_coverage)}
 ORACLES: dict[str, str] = {}
