@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonargrid.llm import leakage, segments, spans
+from sonargrid.llm import encoding, leakage, mixing, segments, spans
 from sonargrid.session import table
 
 
@@ -16,6 +16,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return segments.pieces(table(spark, d, "samples"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled(encoding.text_cells(table(spark, d, "metadata"), table(spark, d, "markers"))).select("origin", "rec_id", "item_no", "field").distinct()
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled(encoding.text_cells(table(spark, d, "metadata"), table(spark, d, "markers")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -24,6 +32,15 @@ def p6_removed(spark: SparkSession, d: str) -> DataFrame:
     return leakage.removed(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mixture(table(spark, d, "documents"), targets), targets)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents"))
 
@@ -33,5 +50,5 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p6_found, p6_removed, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_restored, p6_found, p6_removed, p7_mixture, p7_shares, p8_found, p8_coverage)}
 ORACLES: dict[str, str] = {}
