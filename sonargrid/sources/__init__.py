@@ -1 +1 @@
-
+"""Sources and sinks: RIFF/WAVE files as DataFrames and back."""

@@ -1 +1 @@
-
+"""Structured Streaming forms of blocks, sessions, continuity and unwrapping."""
