@@ -137,7 +137,7 @@ def start_times(metadata: DataFrame, files: DataFrame, sites: DataFrame) -> Data
     """
     m = metadata.select("rec_id", "ord", "path", F.lower(F.trim("key")).alias("k"), "value").where("coalesce(is_section, false) = false AND value IS NOT NULL")
     whole = m.where(F.col("k").isin("datetimeoriginal", "datecreated")).select("rec_id", "ord", F.col("value").alias("said"))
-    bext = m.where(F.col("k").isin("originationdate", "originationtime") & (F.upper(F.element_at(F.filter("path", lambda p: p.isNotNull()), -1)) == "BEXT"))
+    bext = m.where(F.col("k").isin("originationdate", "originationtime") & (F.upper(F.try_element_at("path", F.lit(-1))) == "BEXT"))
     section = F.concat_ws("\u0001", "path")
     date = bext.where("k = 'originationdate'").select("rec_id", "ord", section.alias("at"), "value").distinct()
     time = bext.where("k = 'originationtime'").groupBy("rec_id", section.alias("at")).agg(F.min_by("value", "ord").alias("time"))
