@@ -112,6 +112,36 @@ def _anchor_kernel(window: int):
     return run
 
 
+def _member_kernel(window: int):
+    """(text_key, lo, hi, text, at) -> a row for each anchor with the stretch of text around it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["shard", "text_key", "lo", "hi", "place", "base", "n", "near", "far", "seg"]
+        for b in batches:
+            lists = b.column(4)
+            ends = lists.offsets.to_numpy()
+            anchor, n, place, first, last = (lists.values.field(k).to_numpy() for k in ("anchor", "n", "place", "first", "last"))
+            texts = b.column(3)
+            row, a, e = 0, int(ends[0]), int(ends[-1])
+            for at in range(a, e, 50_000):  # bounded batches, whatever the length of a text
+                to = min(e, at + 50_000)
+                of, segs = np.empty(to - at, np.int64), []
+                text = texts[row].as_py()
+                for i in range(at, to):
+                    while i >= ends[row + 1]:
+                        row += 1
+                        text = texts[row].as_py()
+                    of[i - at] = row
+                    segs.append(text[first[i] : last[i] + window])
+                part = slice(at, to)
+                key, lo, hi = (b.column(c).take(pa.array(of)) for c in range(3))
+                cols = [pa.array(anchor[part]), key, lo, hi, pa.array(place[part]), pa.array(first[part]), pa.array(n[part])]
+                cols += [pa.array(place[part] - last[part]), pa.array(place[part] - first[part]), pa.array(segs, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return run
+
+
 def _shard_kernel(window: int):
     """Rows sorted by shard: (shard, text_key, lo, hi, base, seg) -> (text_key, a, b), runs of starts of shared windows."""
 
@@ -215,12 +245,8 @@ def shared_spans(documents: DataFrame, window: int = 250, crowd: int = CROWD) ->
     )
     about = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("anchor", "n")
     placed = found.join(about, "anchor").groupBy("text_key").agg(F.collect_list(F.struct("anchor", "n", "place", "first", "last")).alias("at"))
-    base = F.col("at.first")
-    members = texts.join(placed, "text_key").select("text_key", "lo", "hi", "text", F.explode("at").alias("at")).select(
-        F.col("at.anchor").alias("shard"), "text_key", "lo", "hi", F.col("at.place").alias("place"), base.alias("base"), F.col("at.n").alias("n"),
-        (F.col("at.place") - F.col("at.last")).alias("near"), (F.col("at.place") - base).alias("far"),
-        F.substring("text", base + 1, F.col("at.last") - base + window).alias("seg"),
-    )
+    schema = "shard bigint, text_key binary, lo bigint, hi bigint, place int, base int, n bigint, near int, far int, seg string"
+    members = texts.join(placed, "text_key").select("text_key", "lo", "hi", "text", "at").mapInArrow(_member_kernel(window), schema)
     plain = ["shard", "text_key", "lo", "hi", "base", "seg"]
     small, shared = [members.where(F.col("n") <= crowd).select(*plain)], []
     if not about.where(F.col("n") > crowd).isEmpty():
