@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_FILES = Window.partitionBy("rec_id").orderBy("file_idx")
-_BEFORE = _FILES.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _in_order() -> WindowSpec:
+    return Window.partitionBy("rec_id").orderBy("file_idx")
+
+
+def _before() -> WindowSpec:
+    return _in_order().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def wall_micros(c: str) -> Column:
@@ -25,7 +31,7 @@ def distinct_files(files: DataFrame) -> DataFrame:
 
 def file_offsets(files: DataFrame) -> DataFrame:
     """(rec_id, file_idx, frames, offset, until): where each file lies in its recording, by the frames of the files before it."""
-    return files.select("rec_id", "file_idx", "frames", F.coalesce(F.sum("frames").over(_BEFORE), F.lit(0)).alias("offset")).withColumn("until", F.col("offset") + F.coalesce("frames", F.lit(0)))
+    return files.select("rec_id", "file_idx", "frames", F.coalesce(F.sum("frames").over(_before()), F.lit(0)).alias("offset")).withColumn("until", F.col("offset") + F.coalesce("frames", F.lit(0)))
 
 
 def file_start_times(files: DataFrame) -> DataFrame:
@@ -51,20 +57,20 @@ def continuity(files: DataFrame, max_gap_s: float = 1.0, mode: str = "strict") -
     rows = files.withColumn("start_us", wall_micros("start_time"))
     length = F.rint(F.col("frames") / F.col("rate") * 1e6).cast("bigint")
     rows = rows.withColumn("length", F.coalesce(length, F.lit(0)))
-    rows = rows.withColumn("run", F.coalesce(F.sum("length").over(_BEFORE), F.lit(0)))
+    rows = rows.withColumn("run", F.coalesce(F.sum("length").over(_before()), F.lit(0)))
     zero = F.col("start_us") - F.col("run")  # the start of the recording that a file's start stands for
     if mode == "strict":
-        expected = F.lag("start_us").over(_FILES) + F.lag("length").over(_FILES)
+        expected = F.lag("start_us").over(_in_order()) + F.lag("length").over(_in_order())
     else:
-        expected = F.last(zero, ignorenulls=True).over(_BEFORE) + F.col("run")
-    rows = rows.withColumns({"expected": expected, "i": F.row_number().over(_FILES), "rate0": F.first("rate").over(_FILES), "channels0": F.first("channels").over(_FILES)})
+        expected = F.last(zero, ignorenulls=True).over(_before()) + F.col("run")
+    rows = rows.withColumns({"expected": expected, "i": F.row_number().over(_in_order()), "rate0": F.first("rate").over(_in_order()), "channels0": F.first("channels").over(_in_order())})
     gap = F.col("start_us") - F.col("expected")
     bad = (F.col("rate") != F.col("rate0")) | (F.col("channels") != F.col("channels0")) | F.coalesce(F.abs(gap) > int(max_gap_s * 1e6), F.lit(False))
     if mode == "strict":
         bad = bad | F.col("start_us").isNull()
     bad = F.when(F.col("i") == 1, False).otherwise(F.coalesce(bad, F.lit(True)))
     rows = rows.withColumns({"bad": bad.cast("int"), "gap_s": gap / 1e6})
-    return rows.select("rec_id", "file_idx", (F.max("bad").over(_FILES) == 0).alias("ok"), "gap_s")
+    return rows.select("rec_id", "file_idx", (F.max("bad").over(_in_order()) == 0).alias("ok"), "gap_s")
 
 
 def frame_to_file(positions: DataFrame, files: DataFrame, pos: str = "pos") -> DataFrame:
