@@ -46,7 +46,7 @@ def fix_timestamps(spark: SparkSession, source: str, target: str, start: str, dr
     files = spark.read.format("riff").option("view", "files").option("recording", "folder").load(source)
     plan = new_starts(files, start)
     if not dry_run:
-        raw = spark.read.format("binaryFile").load(source if source.endswith(".wav") else f"{source}/*.wav").select(F.regexp_extract("path", r"[^/]*$", 0).alias("name"), F.col("content").alias("data"))
-        rows = raw.join(plan, "name").select(F.col("new_name").alias("name"), "data", F.date_format("new_start", "yyyy-MM-dd").alias("day"), F.date_format("new_start", "HH:mm:ss").alias("clock"))
+        raw = spark.read.format("riff").option("view", "raw").load(source).select("path", "data")
+        rows = raw.join(plan, "path").select(F.col("new_name").alias("name"), "data", F.date_format("new_start", "yyyy-MM-dd").alias("day"), F.date_format("new_start", "HH:mm:ss").alias("clock"))
         riff_source.write_recordings(rows.mapInArrow(_rewrite, "name string, data binary"), target)
     return plan

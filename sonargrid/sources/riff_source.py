@@ -1,8 +1,9 @@
 """RIFF/WAVE files as a Spark data source: ``spark.read.format("riff").option("view", ..).load(path)`` and back.
 
-Views: samples, files, chunks, metadata, markers. A path is a file, a folder or a pattern. Files are numbered by their
-sorted paths: each is a recording of its own, or, with option recording="folder", one file of its folder's recording.
-Samples are read in ranges of frames; filters on rec_id and frame decide which ranges are read at all.
+Views: samples, files, chunks, metadata, markers, and raw for whole files. A path is a file, a folder or a pattern. Files are
+numbered by their sorted paths: each is a recording of its own, or, with option recording="folder", one file of its folder's
+recording. Samples are read in ranges of frames; the options recIds, startFrame and stopFrame decide which ranges are read at all.
+(Spark 4.1 keeps pushed filters of a Python source for later queries on the same DataFrame, so these are options, not filters.)
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from sonargrid.sources import riff
@@ -27,6 +28,7 @@ SCHEMAS = {
     "chunks": "rec_id bigint, file_idx int, ord int, tag string, pos bigint, size bigint",
     "metadata": "rec_id bigint, file_idx int, ord int, dict_ord int, path array<string>, key string, value string, vtype string, is_section boolean",
     "markers": "rec_id bigint, file_idx int, marker_id int, pos bigint, span bigint, label string, text string",
+    "raw": "rec_id bigint, file_idx int, path string, data binary",
 }
 #: Frames of one input partition.
 RANGE = 1 << 20
@@ -85,21 +87,8 @@ class RiffReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.view, self.path, self.folder = options.get("view", "samples"), options.get("path", ""), options.get("recording") == "folder"
         self.keep_empty = options.get("storeempty", "false").lower() == "true"
-        self.recs: set | None = None
-        self.low, self.high = 0, None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            at = getattr(f, "attribute", None)
-            if at == ("rec_id",) and isinstance(f, (EqualTo, In)):
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.recs = values if self.recs is None else self.recs & values
-            elif at == ("frame",) and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-            elif at == ("frame",) and isinstance(f, (LessThan, LessThanOrEqual)):
-                stop = f.value + isinstance(f, LessThanOrEqual)
-                self.high = stop if self.high is None else min(self.high, stop)
-            yield f  # Spark checks it again on the rows that are read
+        self.recs = {int(r) for r in options["recids"].split(",")} if options.get("recids") else None
+        self.low, self.high = int(options.get("startframe", 0)), int(options["stopframe"]) if options.get("stopframe") else None
 
     def _files(self) -> list[tuple[int, int, str]]:
         at = self.path
@@ -150,9 +139,13 @@ class RiffReader(DataSourceReader):
             r = _header(part.path)
             yield (part.rec_id, part.file_idx, part.path, "WAV", r.encoding, r.rate, r.channels, r.frames, part.offset, part.offset + r.frames)
             return
-        with open(part.path, "rb") as f:
-            r = riff.parse(f.read(), self.keep_empty)
         key = (part.rec_id, part.file_idx)
+        with open(part.path, "rb") as f:
+            raw = f.read()
+        if self.view == "raw":
+            yield (*key, part.path, raw)
+            return
+        r = riff.parse(raw, self.keep_empty)
         if self.view == "chunks":
             yield from (key + (i, *c) for i, c in enumerate(r.chunks))
         elif self.view == "metadata":
@@ -197,8 +190,7 @@ class RiffWriter(DataSourceWriter):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format "riff" known to a session, and let filters reach it."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make the format "riff" known to a session."""
     spark.dataSource.register(RiffSource)
 
 
