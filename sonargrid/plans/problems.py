@@ -33,7 +33,29 @@ _INTERVALS = """i AS (
 ), o AS (
   SELECT *, max(e) OVER (PARTITION BY rec_id, label ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i
 )"""
+_NUM = "[-+]?[0-9]+(?:[.,][0-9]+)?(?:[eE][-+]?[0-9]+)?"
+# spelling, quantity, factor to the base unit; the two that differ in case only come first
+_UNITS = """u(name, quantity, f) AS (VALUES ('hz','highpass',1e3),('hertz','highpass',1e3),('khz','highpass',1e6),('kilohertz','highpass',1e6),('mhz','highpass',1),('millihertz','highpass',1),
+ ('1/s','highpass',1e3),('/s','highpass',1e3),('cps','highpass',1e3),('1/min','highpass',1e3/60),('/min','highpass',1e3/60),('cpm','highpass',1e3/60),
+ ('v','gain',1e6),('volt','gain',1e6),('volts','gain',1e6),('mv','gain',1e3),('millivolt','gain',1e3),('millivolts','gain',1e3),('uv','gain',1),('muv','gain',1),('µv','gain',1),('μv','gain',1),('microvolt','gain',1),('microvolts','gain',1),('kv','gain',1e9))"""
+_FREQ = "millihertz|kilohertz|hertz|khz|mhz|hz|1/min|/min|1/s|/s|cps|cpm"
+_VOLT = "microvolts?|millivolts?|volts?|muv|uv|µv|μv|mv|kv|v"
+
+
+def _units_sql() -> str:
+    parts = []
+    for key, names in (("highpass", _FREQ), ("gain", _VOLT)):
+        parts.append(f"""SELECT m.rec_id, m.ord, '{key}' AS quantity, regexp_extract(value, '(?:^|[^0-9.,/])({_NUM})\\s*(?i:{names})(?:/[vV])?(?:[^A-Za-zµμ]|$)', 1) AS n,
+  lower(regexp_extract(value, '(?:^|[^0-9.,/]){_NUM}\\s*((?i:{names}))(?:/[vV])?(?:[^A-Za-zµμ]|$)', 1)) AS name, regexp_extract(value, '^\\s*({_NUM})\\s*(?:/[vV])?\\s*$', 1) AS bare,
+  lower(regexp_extract(t.units, '(?:^|[^A-Za-zµμ/0-9])((?i:{names}))(?:[^A-Za-zµμ]|$)', 1)) AS given FROM m LEFT JOIN t USING (rec_id, place) WHERE k = '{key}'""")
+    return f"""WITH {_UNITS}, m AS (SELECT DISTINCT rec_id, ord, array_to_string(path, '/') AS place, lower(trim(key)) AS k, value FROM metadata WHERE value IS NOT NULL AND NOT coalesce(is_section, false)),
+t AS (SELECT rec_id, place, arg_min(value, ord) AS units FROM m WHERE k = 'units' GROUP BY 1, 2), p AS ({" UNION ALL ".join(parts)}),
+c AS (SELECT rec_id, ord, quantity, replace(CASE WHEN n <> '' THEN n ELSE bare END, ',', '.')::DOUBLE AS v, CASE WHEN n <> '' THEN name ELSE given END AS name FROM p WHERE n <> '' OR bare <> '')
+SELECT DISTINCT rec_id, ord, round(v * f)::BIGINT AS base_value FROM c JOIN u USING (name, quantity)"""
+
+
 ORACLES = {
+    "p5_found": _units_sql(),
     "p4_found": f"WITH {_INTERVALS} SELECT rec_id, label, reach AS gap_start, s AS gap_end FROM o WHERE s > reach",
     "p4_periods": f"""WITH {_INTERVALS}, g AS (
   SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY rec_id, label ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o
