@@ -51,4 +51,23 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_restored, p6_found, p6_removed, p7_mixture, p7_shares, p8_found, p8_coverage)}
-ORACLES: dict[str, str] = {}
+
+_WORDS = r"""regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z!][^<>]*>|\[/?[A-Za-z*][^\[\]]*\]|&(?:[A-Za-z][A-Za-z0-9_]*|#[0-9]+|#[xX][0-9A-Fa-f]+);', ' ', 'g')), '[\p{L}\p{N}]+')"""
+_LEAKS = f"""dw AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL), iw AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM dw WHERE len(w) >= 12),
+ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM iw WHERE len(w) >= 12)"""
+_SHARED = """d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 250 AND doc_id IS NOT NULL), p AS (SELECT doc_id, text, unnest(range(0, length(text) - 249)) AS i FROM d),
+w AS (SELECT doc_id, i, md5(substr(text, i + 1, 250)) AS h FROM p), s AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+r AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM w JOIN s USING (h)), sp AS (SELECT doc_id, min(i) AS start_char, max(i) + 250 AS end_char FROM r GROUP BY doc_id, k)"""
+ORACLES: dict[str, str] = {
+    "p2_found": """WITH s AS (SELECT rec_id, channel, frame, min(x) AS x, bool_or(x IS NULL) AS gone FROM samples GROUP BY 1, 2, 3), m AS (SELECT rec_id, channel, median(x) AS m FROM s GROUP BY 1, 2),
+n AS (SELECT rec_id, count(DISTINCT channel) AS channels, count(DISTINCT frame) AS frames FROM s GROUP BY 1),
+f AS (SELECT rec_id, frame FROM s JOIN m USING (rec_id, channel) JOIN n USING (rec_id) WHERE frames > 1000 GROUP BY rec_id, frame, channels HAVING count(*) FILTER (abs(x - m) <= 0.02::DOUBLE) = channels),
+k AS (SELECT *, frame - row_number() OVER (PARTITION BY rec_id ORDER BY frame) AS k FROM f)
+SELECT rec_id, min(frame) AS start_frame, max(frame) + 1 AS end_frame FROM k GROUP BY rec_id, k HAVING count(*) >= 50""",
+    "p6_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
+    "p8_found": f"WITH {_SHARED} SELECT * FROM sp",
+    "p8_coverage": f"""WITH {_SHARED}, o AS (SELECT *, max(end_char) OVER (PARTITION BY doc_id ORDER BY start_char, end_char ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp),
+c AS (SELECT doc_id, sum(end_char - greatest(start_char, coalesce(reach, start_char)))::BIGINT AS shared_chars FROM o GROUP BY 1), z AS (SELECT doc_id, max(length(text)) AS n_chars FROM d GROUP BY 1)
+SELECT doc_id, n_chars, shared_chars, shared_chars / n_chars AS shared_share FROM c JOIN z USING (doc_id)""",
+}
