@@ -171,7 +171,7 @@ def tone(spark: SparkSession, duration: float, frequency: float, amplitude: floa
 
 def to_blocks(s: DataFrame) -> DataFrame:
     """(rec_id, channel, block, frames, xs): the samples of each block in order."""
-    rows = s.groupBy(*KEYS, F.shiftright("frame", BITS).alias("block")).agg(F.array_sort(F.collect_list(F.struct("frame", "x"))).alias("v"))
+    rows = s.groupBy(*KEYS, F.shiftright("frame", BITS).alias("block")).agg(F.sort_array(F.collect_list(F.struct("frame", "x"))).alias("v"))
     return rows.select(*KEYS, "block", F.col("v.frame").alias("frames"), F.col("v.x").alias("xs"))
 
 
@@ -237,7 +237,7 @@ def unwrap(s: DataFrame, thresh: float = 1.5, ampl_max: float = 1.0, mode: str =
     blocks = blocks.join(last, [*KEYS, "block"], "left")
     blocks = blocks.withColumn("before", F.when(F.col("inner"), F.coalesce("before", F.lit(float("nan"))))).select(*KEYS, "block", "frames", "xs", "before")
     maps = blocks.mapInArrow(_unwrap_kernel(thresh, ampl_max, False), "rec_id bigint, channel int, block bigint, map array<int>")
-    chain = maps.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("block", "map"))).alias("maps"))
+    chain = maps.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("block", "map"))).alias("maps"))
 
     def onward(acc, m):
         step = F.element_at(m["map"], F.element_at(acc, -1)["entry"] + 1)
@@ -282,7 +282,7 @@ def decimate(s: DataFrame, q: int, halo: int = 4096) -> DataFrame:
     The filter's memory fades within the halo for q up to about 50; take more for a larger q. Nulls count as 0.
     """
     sections = chebyshev_sections(8, 0.05, 0.8 / q)
-    grouped = with_halo(s, halo, halo).groupBy(*KEYS, "block").agg(F.array_sort(F.collect_list(F.struct("frame", F.coalesce("x", F.lit(0.0)).alias("x")))).alias("v"))
+    grouped = with_halo(s, halo, halo).groupBy(*KEYS, "block").agg(F.sort_array(F.collect_list(F.struct("frame", F.coalesce("x", F.lit(0.0)).alias("x")))).alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
