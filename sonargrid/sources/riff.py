@@ -14,7 +14,7 @@ INFO_TAGS = {
     "DISP": "SoundSchemeTitle", "IDIT": "DateTimeOriginal", "DTIM": "DateTimeOriginal", "IGNR": "Genre", "GENR": "Genre", "IARL": "ArchivalLocation",
     "IART": "Artist", "IAS1": "FirstLanguage", "IAS2": "SecondLanguage", "IAS3": "ThirdLanguage", "IAS4": "FourthLanguage", "IAS5": "FifthLanguage",
     "IAS6": "SixthLanguage", "IAS7": "SeventhLanguage", "IAS8": "EighthLanguage", "IAS9": "NinthLanguage", "IBSU": "BaseURL", "ICAS": "DefaultAudioStream",
-    "ICDS": "CostumeDesigner", "ICMS": "Commissioned", "ICNM": "Cinematographer", "ICNT": "Country", "ICOP": "Copyright", "ICRD": "DateCreated",
+    "ICDS": "ConstumeDesigner", "ICMS": "Commissioned", "ICNM": "Cinematographer", "ICNT": "Country", "ICOP": "Copyright", "ICRD": "DateCreated",
     "ICRP": "Cropped", "IDIM": "Dimensions", "IDPI": "DotsPerInch", "IDST": "DistributedBy", "IEDT": "EditedBy", "IENG": "Engineer", "IKEY": "Keywords",
     "ILGT": "Lightness", "ILGU": "LogoURL", "ILIU": "LogoIconURL", "ILNG": "Language", "LANG": "Language", "IMBI": "MoreInfoBannerImage",
     "IMBU": "MoreInfoBannerURL", "IMED": "Medium", "IMIT": "MoreInfoText", "IMIU": "MoreInfoURL", "IMUS": "MusicBy", "INAM": "Title", "TITL": "Title",
