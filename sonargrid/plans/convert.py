@@ -69,6 +69,7 @@ def groups(files: DataFrame, merge: int = 0) -> DataFrame:
 def convert(spark: SparkSession, source: str, target: str, c: Conversion, encoding: str = "PCM_16", merge: int = 0, folders: bool = False, hint: str = "cue") -> None:
     """Read recordings at ``source``, change them and write them to the folder ``target``.
 
+    Outputs lie below ``target`` as their first files lie below ``source``; equal names, as of x.wav and x.WAV, are an error.
     With ``folders`` all files of a folder are one recording, written as one file or, with ``merge``, as one file per so many.
     """
     riff_source.register(spark)
@@ -89,8 +90,9 @@ def convert(spark: SparkSession, source: str, target: str, c: Conversion, encodi
     marks = marks.select(F.col("out_id").alias("rec_id"), (F.col("pos") - F.col("low")).alias("pos"), "span", "label", "text")
     head = files.where("file_idx = 0").select("rec_id", "path", (F.col("rate") / c.decimate).alias("rate"), "encoding", "channels")
     channels = F.lit(len(c.channels)) if c.channels else F.col("channels")
-    name = F.concat(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1), F.when(F.lit(merge > 0), F.format_string("-%04d", "part")).otherwise(""), F.lit(".wav"))
+    name = F.concat(F.regexp_extract(riff_source.below(source, F.col("path")), r"(?s)^(.*?)(\.[^./]*)?$", 1), F.when(F.lit(merge > 0), F.format_string("-%04d", "part")).otherwise(""), F.lit(".wav"))
     rates = cut.join(head, "rec_id").select(F.col("out_id").alias("rec_id"), "rate", name.alias("name"), texts.history(F.lit(encoding), F.col("rate"), channels, F.lit("sonargrid")).alias("line"))
+    riff_source.check_names(rates)
     line = rates.select("rec_id", F.col("line").alias("new"))
     md = md.join(line, "rec_id", "left").withColumn("value", F.when(F.lower("key").isin([k.lower() for k in meta.HISTORY_KEYS]), F.concat_ws("\r\n", F.when(F.col("value") != "", F.col("value")), "new")).otherwise(F.col("value"))).drop("new")
     riff_source.write_recordings(riff_source.to_files(placed, rates, md, marks, encoding, hint), target)

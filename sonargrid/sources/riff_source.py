@@ -11,11 +11,12 @@ from __future__ import annotations
 import glob
 import os
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -160,7 +161,9 @@ class Written(WriterCommitMessage):
 
 
 class RiffWriter(DataSourceWriter):
-    """Writes rows (name string, data binary), the files that ``to_files`` makes: under another name first, renamed when all are there."""
+    """Writes rows (name string, data binary), the files that ``to_files`` makes: under another name first, renamed when all are there.
+
+    A name may have folders; two rows of the same name are an error, and nothing is renamed."""
 
     def __init__(self, options: dict, schema: StructType) -> None:
         if schema.fieldNames() != ["name", "data"]:
@@ -174,13 +177,19 @@ class RiffWriter(DataSourceWriter):
             new = os.path.join(self.path, f".{self.job}-{uuid.uuid4().hex}.part")
             with open(new, "wb") as f:
                 f.write(row.data)
-            done.append((new, os.path.join(self.path, os.path.basename(row.name))))
+            name = os.path.normpath(row.name)
+            if os.path.isabs(name) or name.split(os.sep)[0] == "..":
+                raise ValueError(f"{row.name!r} is outside of the target")
+            done.append((new, os.path.join(self.path, name)))
         return Written(done)
 
     def commit(self, messages: list) -> None:
-        for m in messages:
-            for new, final in m.files if m else []:
-                os.replace(new, final)
+        files = [f for m in messages if m for f in m.files]
+        if twice := [name for name, n in Counter(final for _, final in files).items() if n > 1]:
+            raise ValueError(f"several outputs are named {min(twice)!r}")
+        for new, final in files:
+            os.makedirs(os.path.dirname(final), exist_ok=True)
+            os.replace(new, final)
 
     def abort(self, messages: list) -> None:
         for m in messages:
@@ -194,6 +203,21 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(RiffSource)
 
 
+def below(source: str, path: Column) -> Column:
+    """Paths of files that a reader finds at ``source``, from its folder, or from the last folder before a pattern."""
+    root = source
+    while not os.path.isdir(root) and (root == source or glob.has_magic(root)):
+        root = os.path.dirname(root) or "."
+    return F.udf(lambda p: os.path.relpath(p, root), "string")(path)
+
+
+def check_names(names: DataFrame) -> None:
+    """ValueError if two outputs have the same ``name``."""
+    twice = names.groupBy("name").count().where("count > 1").agg(F.min("name")).first()[0]
+    if twice is not None:
+        raise ValueError(f"several outputs are named {twice!r}")
+
+
 def to_files(samples: DataFrame, rates: DataFrame, metadata: DataFrame | None = None, markers: DataFrame | None = None, encoding: str = "PCM_16", hint: str = "cue") -> DataFrame:
     """(name, data): a RIFF file for each recording. A RIFF file holds at most 4 GB, which bounds what is gathered per recording.
 

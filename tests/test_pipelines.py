@@ -1,3 +1,5 @@
+import shutil
+
 import numpy as np
 import pytest
 from conftest import rows
@@ -5,7 +7,7 @@ from conftest import rows
 from sonargrid import cli
 from sonargrid.plans.convert import Conversion, convert
 from sonargrid.plans.fixtime import fix_timestamps
-from sonargrid.sources import riff
+from sonargrid.sources import riff, riff_source
 
 
 def tone(n, rate=8000):
@@ -85,3 +87,35 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert "WAVEX" in out and "PCM_24" in out and "DateTimeOriginal" in out and "m3" in out
     cli.main(["convert", str(folder), str(tmp_path / "o"), "-c", "0", "-f", "-n", "2"])
     assert len(list((tmp_path / "o").iterdir())) == 2 and cli.channel_list("0-2,5") == [0, 1, 2, 5]
+
+
+def outputs(path):
+    return sorted(str(p.relative_to(path)) for p in path.rglob("*") if p.is_file())
+
+
+def test_every_input_has_an_output(spark, folder, tmp_path):
+    top = tmp_path / "top"
+    for name in "AB":
+        shutil.copytree(folder, top / name)
+        (top / name / "x.wav").write_bytes(riff.build(tone(10) * (1 if name == "A" else 0.5), 8000))
+    plan = fix_timestamps(spark, str(top), str(tmp_path / "fixed"), "2024-05-06T00:00:00")
+    names = ["test-2024-05-06T00:00:00" + n for n in (".wav", "_1.wav", "_2.wav", "_3.wav")] + ["x.wav"]
+    assert plan.count() == 10 and outputs(tmp_path / "fixed") == [f"{d}/{n}" for d in "AB" for n in names]
+    convert(spark, str(top), str(tmp_path / "out"), Conversion(), encoding="DOUBLE")
+    assert outputs(tmp_path / "out") == outputs(top)
+    for d, k in (("A", 1), ("B", 0.5)):
+        assert np.abs(read(tmp_path / "out" / d / "x.wav")[1] - k * tone(10)).max() < 2**-14
+    convert(spark, str(top / "*" / "x.wav"), str(tmp_path / "some"), Conversion())
+    assert outputs(tmp_path / "some") == ["A/x.wav", "B/x.wav"]
+
+
+def test_equal_names_are_refused(spark, folder, tmp_path):
+    (folder / "x.wav").write_bytes(riff.build(tone(10), 8000))
+    (folder / "x.WAV").write_bytes(riff.build(tone(20), 8000))
+    with pytest.raises(ValueError, match="x.wav"):
+        convert(spark, str(folder), str(tmp_path / "out"), Conversion())
+    assert not (tmp_path / "out").exists()
+    two = spark.createDataFrame([("a.wav", b"1"), ("a.wav", b"2")], "name string, data binary")
+    with pytest.raises(Exception, match="several outputs"):
+        riff_source.write_recordings(two, str(tmp_path / "out"))
+    assert outputs(tmp_path / "out") == []
