@@ -6,10 +6,14 @@ are found in any case. A recording's metadata is small, so the row is the unit;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonargrid.functions import quantities, texts
+from sonargrid.sources import riff
 
 START_KEYS = [["DateTimeOriginal"], ["OriginationDate", "OriginationTime"], ["Location_Time"], ["Timestamp"]]
 REFERENCE_KEYS, GAIN_KEYS, HISTORY_KEYS = ["TimeReference"], ["gain"], ["History", "CodingHistory", "BWF_CODING_HISTORY"]
@@ -166,6 +170,41 @@ def merge(m: DataFrame, by: list[str], order: str) -> DataFrame:
     return _leaves(m).groupBy(*by, F.lower(F.concat_ws(".", "path")).alias("section"), F.lower("key").alias("key")).agg(F.max_by("value", order).alias("value"))
 
 
+def _merge_into(out: dict, md: dict) -> None:
+    names = {k.lower(): k for k in out}
+    for k, v in md.items():
+        k = names.setdefault(k.lower(), k)
+        if isinstance(v, dict) and isinstance(out.get(k), dict):
+            _merge_into(out[k], v)
+        else:
+            out[k] = v
+
+
+def _merge_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rec_id, rows) -> metadata rows of the files' metadata as one."""
+    kinds = {"rec_id": pa.int64(), "ord": pa.int32(), "dict_ord": pa.int32(), "path": pa.list_(pa.string()), "key": pa.string(), "value": pa.string(), "vtype": pa.string(), "is_section": pa.bool_()}
+    for b in batches:
+        out: list[tuple] = []
+        for rec_id, rows in zip(*(c.to_pylist() for c in b.columns)):
+            files: dict[int, list] = {}
+            for r in rows:
+                files.setdefault(r["file_idx"], []).append((r["ord"], r["path"] or [], r["key"], r["value"], bool(r["is_section"])))
+            first, *others = (riff.metadata_dict(files[i]) for i in sorted(files))
+            for md in others:
+                _merge_into(first, md)
+            out += [(rec_id, *row) for row in riff.metadata_rows(first)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * len(kinds), kinds.values())], names=list(kinds))
+
+
+def merge_files(m: DataFrame) -> DataFrame:
+    """Metadata rows of whole recordings from those (rec_id, file_idx, ord, ..) of their files.
+
+    Keys and sections are the same in any case, spelled and placed as where they first stand; the last value by file_idx counts.
+    """
+    rows = m.groupBy("rec_id").agg(F.collect_list(F.struct("file_idx", "ord", "path", "key", "value", "is_section")).alias("rows"))
+    return rows.mapInArrow(_merge_kernel, "rec_id bigint, ord int, dict_ord int, path array<string>, key string, value string, vtype string, is_section boolean")
+
+
 def update_gain(m: DataFrame, factor: float, keys: list[str] = GAIN_KEYS) -> DataFrame:
     """Metadata with the first gain divided by ``factor``, with one digit more and without "/V"; gains without a number stay."""
     new = lookup(m, keys).select("rec_id", "ord", quantities.scaled_text(F.col("value"), factor).alias("new")).where("new IS NOT NULL")
@@ -201,6 +240,15 @@ def set_starttime(m: DataFrame, when: str) -> DataFrame:
     return set_values(m, changes)
 
 
+def set_starttimes(m: DataFrame, starts: DataFrame) -> DataFrame:
+    """Metadata with all start times that are there set to those of their recordings (rec_id, value TIMESTAMP_NTZ), printed to whole seconds."""
+    said = F.col("start").cast("string")
+    day, clock = F.substring(said, 1, 10), F.substring(said, 12, 8)
+    starts = starts.select("rec_id", F.col("value").alias("start"))
+    to = [(k[0], F.concat_ws("T", day, clock)) for k in START_KEYS if len(k) == 1] + [x for k in START_KEYS if len(k) == 2 for x in zip(k, (day, clock))]
+    return _replace(m, [find(m, k).select("rec_id", "ord").join(starts, "rec_id").select("rec_id", "ord", new.alias("new")) for k, new in to])
+
+
 def add_history(m: DataFrame, line: str, keys: list[str] = HISTORY_KEYS) -> DataFrame:
     """Metadata with a line appended, after CR LF, to every history that is there."""
     new = [find(m, k).select("rec_id", "ord", F.concat_ws("\r\n", F.when(F.col("value") != "", F.col("value")), F.lit(line)).alias("new")) for k in keys]

@@ -71,19 +71,26 @@ def convert(spark: SparkSession, source: str, target: str, c: Conversion, encodi
 
     Outputs lie below ``target`` as their first files lie below ``source``; equal names, as of x.wav and x.WAV, are an error.
     With ``folders`` all files of a folder are one recording, written as one file or, with ``merge``, as one file per so many.
+    Every output has the metadata of all files of its recording, of a repeated key the last value, but the first file's start time.
     """
     riff_source.register(spark)
     view = lambda v: spark.read.format("riff").option("view", v).option("recording", "folder" if folders else "file").load(source)
-    files = view("files").cache()
+    files, said = view("files").cache(), view("metadata").cache()
+    kept = [files, said]  # small, and read by many steps
     if not files.groupBy("rec_id").agg((F.count_distinct("rate", "channels") > 1).alias("mixed")).where("mixed").isEmpty():
         raise ValueError("files of one recording differ in rate or channels")
     cut = groups(files, merge).withColumns({"out_id": F.col("rec_id") * 100_000 + F.col("part"), "low": F.floor(F.col("low") / c.decimate), "high": F.ceil(F.col("high") / c.decimate)})
     samples = modify_samples(view("samples"), c)
     placed = samples.join(cut.select("rec_id", "out_id", "low", "high"), "rec_id").where("frame >= low AND frame < high")
     placed = placed.select(F.col("out_id").alias("rec_id"), "channel", (F.col("frame") - F.col("low")).alias("frame"), "x")
-    first = view("metadata").where("file_idx = 0").drop("file_idx")
+    if folders:
+        merged = meta.merge_files(said).cache()
+        md = meta.set_starttimes(merged, meta.get_datetime(said.where("file_idx = 0").drop("file_idx"))).cache()
+        kept += [merged, md]
+    else:
+        md = said.drop("file_idx")
     outs = cut.select("rec_id", "out_id")
-    md = modify_metadata(first, c).join(outs, "rec_id").drop("rec_id").withColumnRenamed("out_id", "rec_id")
+    md = modify_metadata(md, c).join(outs, "rec_id").drop("rec_id").withColumnRenamed("out_id", "rec_id")
     offsets = files.select("rec_id", "file_idx", F.col("start_index").alias("offset"))
     marks = view("markers").join(offsets, ["rec_id", "file_idx"]).withColumn("pos", F.col("pos") + F.col("offset"))
     marks = modify_markers(marks, c).join(cut.select("rec_id", "out_id", "low", "high"), "rec_id").where("pos >= low AND pos < high")
@@ -96,4 +103,5 @@ def convert(spark: SparkSession, source: str, target: str, c: Conversion, encodi
     line = rates.select("rec_id", F.col("line").alias("new"))
     md = md.join(line, "rec_id", "left").withColumn("value", F.when(F.lower("key").isin([k.lower() for k in meta.HISTORY_KEYS]), F.concat_ws("\r\n", F.when(F.col("value") != "", F.col("value")), "new")).otherwise(F.col("value"))).drop("new")
     riff_source.write_recordings(riff_source.to_files(placed, rates, md, marks, encoding, hint), target)
-    files.unpersist()
+    for df in kept:
+        df.unpersist()

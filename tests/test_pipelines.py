@@ -119,3 +119,25 @@ def test_equal_names_are_refused(spark, folder, tmp_path):
     with pytest.raises(Exception, match="several outputs"):
         riff_source.write_recordings(two, str(tmp_path / "out"))
     assert outputs(tmp_path / "out") == []
+
+
+def test_metadata_of_all_files_is_merged(spark, tmp_path):
+    mds = [
+        {"INFO": {"DateTimeOriginal": "2019-01-01T00:00:00", "Title": "first", "Gain": "20mV"}, "BEXT": {"OriginationDate": "2019-01-01", "OriginationTime": "00:00:00"}},
+        {"INFO": {"DateTimeOriginal": "2019-01-01T00:00:01", "Title": "second", "Artist": "a"}, "Rec": {"Site": "x", "Deep": {"n": "1"}}},
+        {"INFO": {"DateTimeOriginal": "2019-01-01T00:00:02", "Comment": "c"}, "rec": {"site": "y"}, "Timestamp": "2019-01-01T00:00:02"},
+    ]
+    for d in "AB":
+        (tmp_path / "in" / d).mkdir(parents=True)
+        for i, md in enumerate(mds if d == "A" else mds[:1]):
+            (tmp_path / "in" / d / f"{i}.wav").write_bytes(riff.build(tone(8000), 8000, md=md))
+    convert(spark, str(tmp_path / "in"), str(tmp_path / "out"), Conversion(scale=2.0), folders=True, merge=2)
+    assert outputs(tmp_path / "out") == ["A/0-0000.wav", "A/0-0001.wav", "B/0-0000.wav"]
+    for i in range(2):
+        md = read(tmp_path / "out" / "A" / f"0-000{i}.wav")[0].metadata
+        assert md.pop("GUANO", None) and md == {
+            "INFO": {"DateTimeOriginal": "2019-01-01T00:00:00", "Title": "second", "Gain": "10.0mV", "Artist": "a", "Comment": "c"},
+            "BEXT": {"OriginationDate": "2019-01-01", "OriginationTime": "00:00:00"},
+            "Rec": {"Site": "y", "Deep": {"n": "1"}}, "Timestamp": "2019-01-01T00:00:00",
+        }
+    assert read(tmp_path / "out" / "B" / "0-0000.wav")[0].metadata == mds[0] | {"INFO": mds[0]["INFO"] | {"Gain": "10.0mV"}}
