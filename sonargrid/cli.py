@@ -37,6 +37,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-r", "--remove", action="append", default=[], metavar="KEY")
     c.add_argument("-n", "--merge", type=int, default=0, help="files per output, 0 for all of a folder")
     c.add_argument("-f", "--folders", action="store_true", help="the files of a folder are one recording")
+    c.add_argument("-m", "--mode", default="strict", choices=["strict", "relaxed"], help="whether files of a recording must have start times")
+    c.add_argument("-g", "--max-gap", type=float, default=1.0, help="seconds that a file may start off the end of the one before")
     c.add_argument("-e", "--encoding", default="PCM_16", choices=registry.encodings("WAV"))
     m = sub.add_parser("metadata", help="print metadata, markers or chunks")
     m.add_argument("source")
@@ -60,7 +62,7 @@ def main(args: list[str] | None = None) -> None:
     if a.command == "convert":
         mode = "clip" if a.unwrap_clip else "halve"
         c = Conversion(a.channels, a.scale, a.unwrap_clip or a.unwrap, mode, decimate=a.decimate, add=dict(x.split("=", 1) for x in a.add), remove=a.remove)
-        convert(spark, a.source, a.target, c, a.encoding, a.merge, a.folders)
+        convert(spark, a.source, a.target, c, a.encoding, a.merge, a.folders, mode=a.mode, max_gap_s=a.max_gap)
     elif a.command == "fixtime":
         for r in fix_timestamps(spark, a.source, a.target, a.start, a.dry_run).orderBy("path").toLocalIterator():
             print(r.name, "->", r.new_name, r.new_start)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sonargrid.functions import texts
 from sonargrid.operators import metadata as meta
+from sonargrid.operators import recordings
 from sonargrid.operators import signal as sig
 from sonargrid.sources import riff_source
 
@@ -60,17 +61,36 @@ def modify_markers(k: DataFrame, c: Conversion) -> DataFrame:
 def groups(files: DataFrame, merge: int = 0) -> DataFrame:
     """(rec_id, out_id, low, high): ranges of frames that go into one output each; 0 merges all files of a recording.
 
-    Files that don't continue their recording are an error for the caller to raise, see ``recordings.continuity``.
+    Files that don't continue their recording are an error for the caller to raise, see ``check_continuity``.
     """
     part = F.lit(0) if merge < 1 else F.floor(F.col("file_idx") / merge)
     return files.groupBy("rec_id", part.cast("int").alias("part")).agg(F.min("start_index").alias("low"), F.max("end_index").alias("high"))
 
 
-def convert(spark: SparkSession, source: str, target: str, c: Conversion, encoding: str = "PCM_16", merge: int = 0, folders: bool = False, hint: str = "cue") -> None:
+def start_times(m: DataFrame) -> DataFrame:
+    """(rec_id, file_idx, start_time) of the files that have one in their metadata (rec_id, file_idx, ord, ..)."""
+    found = meta.get_datetime(m.withColumn("rec_id", F.struct("rec_id", "file_idx")).drop("file_idx"))
+    return found.select("rec_id.rec_id", "rec_id.file_idx", F.col("value").alias("start_time"))
+
+
+def check_continuity(files: DataFrame, starts: DataFrame, max_gap_s: float = 1.0, mode: str = "strict") -> None:
+    """ValueError naming the first file that doesn't continue its recording, see ``recordings.continuity``; in mode "strict" nothing continues a file without start."""
+    timed = files.join(starts, ["rec_id", "file_idx"], "left")
+    broken = recordings.continuity(timed, max_gap_s, mode).where("NOT ok")
+    if mode == "strict":
+        after = timed.where("start_time IS NULL").select("rec_id", (F.col("file_idx") + 1).alias("file_idx"))
+        broken = broken.select("rec_id", "file_idx").union(after)
+    first = files.join(broken.select("rec_id", "file_idx").distinct(), ["rec_id", "file_idx"]).agg(F.min_by("path", F.struct("rec_id", "file_idx"))).first()[0]
+    if first is not None:
+        raise ValueError(f"{first} does not continue its recording")
+
+
+def convert(spark: SparkSession, source: str, target: str, c: Conversion, encoding: str = "PCM_16", merge: int = 0, folders: bool = False, hint: str = "cue", mode: str = "strict", max_gap_s: float = 1.0) -> None:
     """Read recordings at ``source``, change them and write them to the folder ``target``.
 
     Outputs lie below ``target`` as their first files lie below ``source``; equal names, as of x.wav and x.WAV, are an error.
     With ``folders`` all files of a folder are one recording, written as one file or, with ``merge``, as one file per so many.
+    These must continue each other by their start times, up to ``max_gap_s``; with ``mode`` "relaxed" start times may be missing.
     Every output has the metadata of all files of its recording, of a repeated key the last value, but the first file's start time.
     """
     riff_source.register(spark)
@@ -79,13 +99,17 @@ def convert(spark: SparkSession, source: str, target: str, c: Conversion, encodi
     kept = [files, said]  # small, and read by many steps
     if not files.groupBy("rec_id").agg((F.count_distinct("rate", "channels") > 1).alias("mixed")).where("mixed").isEmpty():
         raise ValueError("files of one recording differ in rate or channels")
+    if folders:
+        starts = start_times(said).cache()
+        kept.append(starts)
+        check_continuity(files, starts, max_gap_s, mode)
     cut = groups(files, merge).withColumns({"out_id": F.col("rec_id") * 100_000 + F.col("part"), "low": F.floor(F.col("low") / c.decimate), "high": F.ceil(F.col("high") / c.decimate)})
     samples = modify_samples(view("samples"), c)
     placed = samples.join(cut.select("rec_id", "out_id", "low", "high"), "rec_id").where("frame >= low AND frame < high")
     placed = placed.select(F.col("out_id").alias("rec_id"), "channel", (F.col("frame") - F.col("low")).alias("frame"), "x")
     if folders:
         merged = meta.merge_files(said).cache()
-        md = meta.set_starttimes(merged, meta.get_datetime(said.where("file_idx = 0").drop("file_idx"))).cache()
+        md = meta.set_starttimes(merged, starts.where("file_idx = 0").select("rec_id", F.col("start_time").alias("value"))).cache()
         kept += [merged, md]
     else:
         md = said.drop("file_idx")

@@ -141,3 +141,24 @@ def test_metadata_of_all_files_is_merged(spark, tmp_path):
             "Rec": {"Site": "y", "Deep": {"n": "1"}}, "Timestamp": "2019-01-01T00:00:00",
         }
     assert read(tmp_path / "out" / "B" / "0-0000.wav")[0].metadata == mds[0] | {"INFO": mds[0]["INFO"] | {"Gain": "10.0mV"}}
+
+
+def test_files_that_do_not_continue_are_refused(spark, tmp_path):
+    def made(name, *starts):
+        d = tmp_path / name
+        d.mkdir()
+        for i, s in enumerate(starts):
+            (d / f"{i}.wav").write_bytes(riff.build(tone(8000), 8000, md={"INFO": {"Title": "t"} | ({"DateTimeOriginal": f"2019-01-01T{s}"} if s else {})}))
+        return str(d)
+
+    out = tmp_path / "out"
+    gap, late, first = made("gap", "00:00:00", "00:00:01", "00:00:09"), made("late", "00:00:00", None), made("first", None, "00:00:01")
+    for d, bad in ((gap, "2.wav"), (late, "1.wav"), (first, "1.wav")):
+        with pytest.raises(ValueError, match=f"{bad} does not continue"):
+            convert(spark, d, str(out), Conversion(), folders=True)
+    with pytest.raises(ValueError, match="2.wav does not continue"):
+        cli.main(["convert", gap, str(out), "-f", "-m", "relaxed"])
+    assert not out.exists()
+    cli.main(["convert", gap, str(out / "gap"), "-f", "-g", "7"])
+    cli.main(["convert", late, str(out / "late"), "-f", "-m", "relaxed"])
+    assert [read(out / d / "0.wav")[0].frames for d in ("gap", "late")] == [24000, 16000]
