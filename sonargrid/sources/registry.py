@@ -1,4 +1,4 @@
-"""Formats, encodings and codecs by name; codecs of compressed formats can be added by users."""
+"""Formats, encodings and codecs by name, for listings; readers and writers know RIFF alone, whatever is added here."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ _OFF: set[str] = set()
 
 
 def register(name: str, formats: list[str], encodings: list[str], available: Callable[[], bool] = lambda: True) -> None:
-    """Add a codec behind those that are there."""
+    """Add a codec's names behind those that are there."""
     CODECS[name] = (formats, encodings, available)
 
 

@@ -79,8 +79,9 @@ def _header(path: str) -> riff.Riff:
                 keep += tag + f.read(n)
             at += 8 + n + n % 2
     r = riff.parse(keep)
-    if r.encoding:
-        r.data_pos, r.frames = data[0], data[1] // riff.frame_bytes(r)
+    if not r.encoding:
+        raise ValueError(f"{path} has no known encoding")
+    r.data_pos, r.frames = data[0], data[1] // riff.frame_bytes(r)
     return r
 
 

@@ -111,3 +111,13 @@ def test_registry():
     assert registry.available() == [] and registry.installed() == ["riff"]
     registry.enable()
     assert registry.select("riff") and not registry.select("x") and registry.available() == ["riff"]
+
+
+@pytest.mark.parametrize("view", ["files", "samples"])
+def test_unknown_encodings_are_refused(spark, tmp_path, view):
+    riff_source.register(spark)
+    raw = bytearray(riff.build(np.zeros((10, 1)), 8000, "PCM_U8"))
+    raw[20:22] = (6).to_bytes(2, "little")  # A-law
+    (tmp_path / "a.wav").write_bytes(raw)
+    with pytest.raises(Exception, match="no known encoding"):
+        spark.read.format("riff").option("view", view).load(str(tmp_path)).collect()
