@@ -276,12 +276,19 @@ def _filtfilt(x: np.ndarray, sections: np.ndarray, pad: int) -> np.ndarray:
     return np.fft.irfft(np.fft.rfft(ext, n) * np.abs(h) ** 2, n)[pad : pad + len(x)]
 
 
-def decimate(s: DataFrame, q: int, halo: int = 4096) -> DataFrame:
+def decimation_halo(sections: np.ndarray) -> int:
+    """Frames in which what a cut does to the filter's result fades to 1e-12 by the slowest pole; at least 4096."""
+    slowest = max(abs(np.roots(a)).max() for a in sections[:, 3:])
+    return max(4096, math.ceil(math.log(1e-12) / math.log(slowest)))
+
+
+def decimate(s: DataFrame, q: int, halo: int | None = None) -> DataFrame:
     """Every q-th frame after a zero-phase order-8 Chebyshev filter (0.05 dB ripple, cutoff 0.8 / q), block by block with ``halo`` frames around.
 
-    The filter's memory fades within the halo for q up to about 50; take more for a larger q. Nulls count as 0.
+    If none is given the halo is what the filter's memory needs for q, see ``decimation_halo``. Nulls count as 0.
     """
     sections = chebyshev_sections(8, 0.05, 0.8 / q)
+    halo = decimation_halo(sections) if halo is None else halo
     grouped = with_halo(s, halo, halo).groupBy(*KEYS, "block").agg(F.sort_array(F.collect_list(F.struct("frame", F.coalesce("x", F.lit(0.0)).alias("x")))).alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

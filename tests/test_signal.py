@@ -114,3 +114,11 @@ def test_nulls_repeats_and_empty(spark):
         assert op(s.limit(0)).count() == 0
         assert op(s).count() > 0
     assert s.agg(F.count("*")).first()[0] == 3
+
+
+@pytest.mark.parametrize("q", [4, 200])
+def test_decimate_leaves_no_seams(spark, q):
+    t = np.arange(150_000)
+    x = 0.5 + np.sin(2 * np.pi * t / 1700) + np.random.default_rng(q).normal(size=len(t))
+    got = values(sig.decimate(frame_of(spark, x), q))
+    assert np.abs(got - sig._filtfilt(x, sig.chebyshev_sections(8, 0.05, 0.8 / q), 27)[::q]).max() < 1e-8
