@@ -278,8 +278,10 @@ def _count_kernel(model, label: bool):
                 last = _START
                 ones[_one_bucket(last)] += n
                 for c in text:
-                    if c == LOST:
-                        break
+                    if c == LOST:  # what follows starts anew
+                        ones[_one_bucket(_START)] += n * (last != _START)
+                        last = _START
+                        continue
                     pairs[_pair_bucket(last, c)] += n
                     ones[_one_bucket(c)] += n
                     last = c

@@ -1,5 +1,7 @@
 import random
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -75,3 +77,13 @@ def test_cells_of_the_tables(spark):
     m = spark.createDataFrame([(1, 2, ["INFO"], "Title", "a", False), (1, 2, ["INFO"], "Title", "a", False), (1, 3, ["BEXT"], "Title", "a", False), (1, 4, ["info"], "T", None, False), (1, 5, None, "T", "a", False), (1, 6, [], "INFO", None, True)], "rec_id bigint, ord int, path array<string>, key string, value string, is_section boolean")
     k = spark.createDataFrame([(1, 7, "l", None), (1, 7, "l", None), (None, 8, None, "t")], "rec_id bigint, marker_id int, label string, text string")
     assert rows(encoding.text_cells(m, k)) == sorted([("metadata", 1, 2, "value", "a"), ("markers", 1, 7, "label", "l"), ("markers", None, 8, "text", "t")], key=repr)
+
+
+def test_counts_go_on_after_a_lost_character():
+    model = SimpleNamespace(value=SimpleNamespace(label=lambda text: []))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a��bc�"]), pa.array([3])], names=["text", "n"])
+    (got,) = encoding._count_kernel(model, True)(iter([batch]))
+    n = dict(zip(*(c.to_pylist() for c in got.columns)))
+    start, ones = encoding._START, 1 << encoding.PAIR_BITS
+    assert {p: n.get(encoding._pair_bucket(*p)) for p in (start + "a", start + "b", "bc", "ab")} == {start + "a": 3, start + "b": 3, "bc": 3, "ab": None}
+    assert [n.get(ones + encoding._one_bucket(c)) for c in "abc"] == [3, 3, 3]
