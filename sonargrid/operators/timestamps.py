@@ -7,10 +7,9 @@ checked and the instant put together by integer arithmetic on days and microseco
 
 from __future__ import annotations
 
-import zoneinfo
 from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Minutes east of UTC of common zone abbreviations.
@@ -34,7 +33,7 @@ def _clock(n: int, separator: str = "[:.-]") -> str:
 
 
 def _zone(n: int) -> str:
-    return rf"(?:\s*(?<o{n}>[+-]\d{{2}}(?::?\d{{2}})?)|\s*\[?(?<z{n}>[A-Za-z][A-Za-z_]*(?:/[A-Za-z0-9_+-]+){{0,2}})\]?)?"
+    return rf"(?:\s*(?<o{n}>[+-]\d{{2}}(?::?\d{{2}})?)|\s*\[?(?<z{n}>[A-Za-z][A-Za-z0-9_+-]*(?:/[A-Za-z0-9_+-]+){{0,2}})\]?)?"
 
 
 def _branches() -> list[str]:
@@ -63,16 +62,17 @@ def _replacement() -> str:
 
 @cache
 def _zones() -> list[str]:
-    return sorted(z for z in zoneinfo.available_timezones() if "/" in z and not z.startswith(("posix", "right", "Etc", "SystemV")))
-
-
+    """Every zone name that the JVM, whose rules apply, knows: with and without slash, Etc/* and legacy names too."""
+    known = set(SparkSession.active()._jvm.java.time.ZoneId.getAvailableZoneIds())
+    return sorted({z for z in known if not z.startswith("SystemV/")} | {"EST", "MST", "HST"})  # Spark knows these three besides
 
 
 def utc_micros(text: Column | str, zone: Column | str | None = None) -> Column:
     """Microseconds since 1970-01-01 UTC of a text, or null.
 
     Null comes of: null or empty text, no full date with time of day, a date or time that doesn't exist, an unknown
-    zone name, or a time without zone where ``zone`` (an IANA name) is null or unknown. Dotted dates are day first,
+    zone name, or a time without zone where ``zone`` (an IANA name) is null or unknown. Zone names, legacy ones such as Japan or
+    Etc/GMT+5 included, are those of the JVM; what is an abbreviation as well, such as EST, counts as one. Dotted dates are day first,
     slashed ones month first unless the year leads; missing seconds are 0; digits beyond microseconds are cut.
     A local time that occurs twice is the earlier instant, one that is skipped moves on by the skip.
     Nine or ten digits are an epoch in seconds, twelve or thirteen in milliseconds.
@@ -115,8 +115,8 @@ def utc_micros(text: Column | str, zone: Column | str | None = None) -> Column:
         east = F.when(minutes <= 18 * 60, F.when(o.startswith("-"), -minutes).otherwise(minutes))
         table = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
         fixed = F.when(o != "", east).otherwise(F.try_element_at(table, F.upper(z)).cast("bigint"))
-        name = F.when(z == "", home).when(z.contains("/"), z)
-        at = F.to_utc_timestamp(F.timestamp_micros(local), F.when(name.isin(*_zones(), "UTC"), name))
+        name = F.when(z == "", home).otherwise(z)
+        at = F.to_utc_timestamp(F.timestamp_micros(local), F.when(name.isin(*_zones()), name))
         epoch = e.try_cast("bigint") * F.when(F.length(e) <= 10, 1_000_000).otherwise(1_000)
         return F.when(e != "", epoch).when(fixed.isNotNull(), local - fixed * 60_000_000).when(o == "", F.unix_micros(at))
 

@@ -54,7 +54,9 @@ c AS (SELECT rec_id, ord, quantity, replace(CASE WHEN n <> '' THEN n ELSE bare E
 SELECT DISTINCT rec_id, ord, round(v * f)::BIGINT AS base_value FROM c JOIN u USING (name, quantity)"""
 
 
-_ABBREVIATIONS = ", ".join(f"('{k}', {v})" for k, v in timestamps.ABBREVIATIONS.items())
+# Hours east of UTC of zone abbreviations, written down for this check alone
+_EAST = """Z +0|UTC +0|GMT +0|UT +0|WET +0|WEST +1|BST +1|CET +1|CEST +2|MEZ +1|MESZ +2|EET +2|EEST +3|MSK +3|SAST +2|WAT +1|CAT +2|EAT +3|IST +5.5|NPT +5.75|SGT +8|HKT +8|AWST +8|JST +9|KST +9
+|ACST +9.5|ACDT +10.5|AEST +10|AEDT +11|NZST +12|NZDT +13|NST -3.5|NDT -2.5|AST -4|ADT -3|EST -5|EDT -4|CST -6|CDT -5|MST -7|MDT -6|PST -8|PDT -7|AKST -9|AKDT -8|HST -10|BRT -3|BRST -2|ART -3"""
 # each notation is rewritten to "year-month-day clock rest" first
 _REWRITES = [
     (r"^(\d{4})(\d{2})(\d{2})[T _-]?(\d{2})(\d{2})(\d{2})$", r"\1-\2-\3 \4:\5:\6"), (r"^(\d{4})(\d{2})(\d{2})[T ]+(\d{1,2}[:.-])", r"\1-\2-\3 \4"),
@@ -74,12 +76,12 @@ b AS (SELECT * FROM m WHERE upper(path[-1]) = 'BEXT'), said AS (SELECT rec_id, o
   UNION SELECT d.rec_id, d.ord, d.value || ' ' || t.value FROM b d JOIN (SELECT rec_id, place, arg_min(value, ord) AS value FROM b WHERE k = 'originationtime' GROUP BY 1, 2) t USING (rec_id, place) WHERE d.k = 'originationdate'),
 z AS (SELECT rec_id, min(tz_name) AS home FROM (SELECT rec_id, min(site_id) AS site_id FROM files GROUP BY 1) JOIN sites USING (site_id) GROUP BY 1),
 p AS (SELECT *, regexp_extract({text}, '{_PARTS}', ['y', 'm', 'd', 'h', 'i', 'x', 'f', 'rest']) AS g FROM said LEFT JOIN z USING (rec_id)),
-n AS (SELECT rec_id, ord, said, home, g.y AS y, lpad(CASE WHEN regexp_matches(g.m, '^[A-Z]') THEN ((instr('{timestamps.MONTHS}', lower(g.m)) + 2) // 3)::VARCHAR ELSE g.m END, 2, '0') AS m, lpad(g.d, 2, '0') AS d, g.h AS hh, g.i AS i, coalesce(nullif(g.x, ''), '00') AS x, rpad(left(g.f, 6), 6, '0') AS f,
+n AS (SELECT rec_id, ord, said, home, g.y AS y, lpad(CASE WHEN regexp_matches(g.m, '^[A-Z]') THEN list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(g.m))::VARCHAR ELSE g.m END, 2, '0') AS m, lpad(g.d, 2, '0') AS d, g.h AS hh, g.i AS i, coalesce(nullif(g.x, ''), '00') AS x, rpad(left(g.f, 6), 6, '0') AS f,
   lower(regexp_extract(g.rest, '^([AaPp][Mm])$', 1)) AS half, trim(regexp_replace(g.rest, '^[AaPp][Mm]$', ''), '[] ') AS zone FROM p),
 h AS (SELECT *, CASE WHEN half = '' THEN hh::INT WHEN hh::INT BETWEEN 1 AND 12 THEN hh::INT % 12 + CASE half WHEN 'pm' THEN 12 ELSE 0 END ELSE 99 END AS hour FROM n WHERE y <> ''),
 l AS (SELECT *, try_cast(y || '-' || m || '-' || d || ' ' || lpad(hour::VARCHAR, 2, '0') || ':' || i || ':' || x || '.' || f AS TIMESTAMP) AS local FROM h WHERE hour < 24),
-ab(zone, east) AS (VALUES {_ABBREVIATIONS}),
-o AS (SELECT l.*, CASE WHEN regexp_matches(l.zone, '^[+-]') THEN (CASE l.zone[1] WHEN '-' THEN -1 ELSE 1 END) * (l.zone[2:3]::INT * 60 + coalesce(nullif(replace(l.zone[4:], ':', ''), ''), '0')::INT) ELSE ab.east END AS minutes, CASE WHEN l.zone = '' THEN home WHEN contains(l.zone, '/') THEN l.zone END AS name FROM l LEFT JOIN ab ON ab.zone = upper(l.zone) WHERE local IS NOT NULL),
+ab AS (SELECT split_part(trim(e), ' ', 1) AS zone, (split_part(trim(e), ' ', 2)::DOUBLE * 60)::INT AS east FROM (SELECT unnest(string_split(replace('{_EAST}', chr(10), ''), '|')) AS e)),
+o AS (SELECT l.*, CASE WHEN regexp_matches(l.zone, '^[+-]') THEN (CASE l.zone[1] WHEN '-' THEN -1 ELSE 1 END) * (l.zone[2:3]::INT * 60 + coalesce(nullif(replace(l.zone[4:], ':', ''), ''), '0')::INT) ELSE ab.east END AS minutes, CASE WHEN l.zone = '' THEN home WHEN l.zone IN (SELECT name FROM pg_timezone_names()) THEN l.zone END AS name FROM l LEFT JOIN ab ON ab.zone = upper(l.zone) WHERE local IS NOT NULL),
 w AS (SELECT *, CASE WHEN minutes IS NULL AND name IS NOT NULL THEN timezone(name, local) END AS moment FROM o)
 SELECT DISTINCT rec_id, ord, CASE WHEN minutes IS NOT NULL THEN epoch_us(local) - minutes::BIGINT * 60000000 WHEN timezone(name, moment - INTERVAL 1 HOUR) = local THEN epoch_us(moment) - 3600000000 ELSE epoch_us(moment) END AS utc_us FROM w WHERE minutes IS NOT NULL OR name IS NOT NULL
 UNION SELECT rec_id, ord, CASE WHEN length(said) <= 10 THEN said::BIGINT * 1000000 ELSE said::BIGINT * 1000 END FROM said WHERE regexp_matches(said, '^(\\d{{9,10}}|\\d{{12,13}})$')"""

@@ -24,6 +24,10 @@ CASES = [
     ("2024-05-06 07:08:09 +05:30", None, us(2024, 5, 6, 1, 38, 9)), ("2024-05-06T07:08:09-03", None, us(2024, 5, 6, 10, 8, 9)), ("2024/05/06 070809", "UTC", us(2024, 5, 6, 7, 8, 9)),
     ("2023-10-29 02:30:00", BERLIN, us(2023, 10, 29, 2, 30, tz=BERLIN)), ("2023-03-26 02:30:00", BERLIN, us(2023, 3, 26, 3, 30, tz=BERLIN)),
     ("2023-10-29 02:30:00 CET", BERLIN, us(2023, 10, 29, 1, 30)), ("2000-02-29 00:00:00", "UTC", us(2000, 2, 29)), ("1900-01-01 00:00:00", "UTC", us(1900, 1, 1)),
+    ("2024-05-06 07:08:09 [Etc/UTC]", BERLIN, us(2024, 5, 6, 7, 8, 9)), ("2024-05-06 07:08:09 Etc/GMT+5", None, us(2024, 5, 6, 12, 8, 9)), ("2024-05-06 07:08:09 Japan", BERLIN, us(2024, 5, 5, 22, 8, 9)),
+    ("2024-05-06 07:08:09 EST5EDT", None, us(2024, 5, 6, 11, 8, 9)), ("2024-05-06 07:08:09 [GB-Eire]", None, us(2024, 5, 6, 6, 8, 9)), ("2024-05-06T07:08:09 America/Argentina/Buenos_Aires", None, us(2024, 5, 6, 10, 8, 9)),
+    ("2024-05-06 07:08:09 EST", None, us(2024, 5, 6, 12, 8, 9)), ("2024-05-06 07:08:09", "Etc/GMT+5", us(2024, 5, 6, 12, 8, 9)), ("2024-05-06 07:08:09", "Etc/UTC", us(2024, 5, 6, 7, 8, 9)), ("2024-05-06 07:08:09", "Japan", us(2024, 5, 5, 22, 8, 9)),
+    ("2024-05-06 07:08:09", "EST", us(2024, 5, 6, 12, 8, 9)), ("2024-05-06 07:08:09", "UTC", us(2024, 5, 6, 7, 8, 9)), ("2024-05-06 07:08:09 SystemV/AST4", None, None),
     *[(bad, BERLIN, None) for bad in ("", "  ", "unknown", "2024", "Mar 2024", "2024-05-06", "07:08:09", "2023-14-19 03:13:53", "2023-02-29 00:00:00", "1900-02-29 00:00:00", "2024-05-06 24:00:00", "2024-05-06 07:60:00", "13/13/2024 7:08 am", "5/6/2024 13:08 am", "2024-05-06 07:08:09 Mars/Base", "2024-05-06 07:08:09 XYZ", "2024-05-06 07:08:09 +19:00", "x" * 100_000, "1" * 100_000)],
     (None, BERLIN, None), ("2024-05-06 07:08:09", None, None), ("2024-05-06 07:08:09", "No/Where", None),
 ]
