@@ -1,7 +1,8 @@
 """Operators on samples (rec_id, channel, frame, x): slicing, scaling, repair, resampling, synthesis.
 
 A sample is found by its frame number. Operators that look at neighbours or carry state work on blocks of 2**16 frames,
-so that a long recording is spread over many tasks; rows near a block's edge are also given to the neighbour.
+so that a long recording is spread over many tasks; rows near a block's edge are also given to the neighbour. These take
+samples as they are stored: repeated ones are joined within the blocks, so that everything costs one shuffle.
 Rows with a null x stay and count as no number; other columns are dropped.
 """
 
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sonargrid.operators import blocks
+
 BITS = 16
 KEYS = ["rec_id", "channel"]
 #: Doubles are added up as integers of this unit, so that sums don't depend on the order of rows.
@@ -23,8 +26,11 @@ UNIT = 2.0**-30
 
 def signal(samples: DataFrame) -> DataFrame:
     """Distinct samples: rows with a null key are dropped, of repeated ones the greatest non-null x counts."""
-    rows = samples.where("rec_id IS NOT NULL AND channel IS NOT NULL AND frame IS NOT NULL")
-    return rows.groupBy("rec_id", "channel", "frame").agg(F.max("x").alias("x"))
+    return _keyed(samples).groupBy("rec_id", "channel", "frame").agg(F.max("x").alias("x"))
+
+
+def _keyed(samples: DataFrame) -> DataFrame:
+    return samples.where("rec_id IS NOT NULL AND channel IS NOT NULL AND frame IS NOT NULL").select(*KEYS, "frame", "x")
 
 
 def slice_frames(s: DataFrame, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
@@ -41,9 +47,27 @@ def slice_frames(s: DataFrame, start: int = 0, stop: int | None = None, step: in
 
 
 def take_frames(s: DataFrame, frames: list[int]) -> DataFrame:
-    """(position, .. columns of s): the listed frames in the listed order, repeated where the list repeats them."""
-    wanted = s.sparkSession.createDataFrame([(i, f) for i, f in enumerate(frames)], "position int, frame bigint")
-    return s.join(F.broadcast(wanted), "frame").select("position", *s.columns)  # as long as the list given
+    """(position, .. columns of s): the listed frames in the listed order, repeated where the list repeats them.
+
+    A negative frame counts from the end of each recording; a frame outside of a recording gives no row.
+    """
+    wanted = s.sparkSession.createDataFrame([(i, f) for i, f in enumerate(frames)], "position int, frame bigint")  # as long as the list given
+    if min(frames, default=0) >= 0:
+        return s.join(F.broadcast(wanted), "frame").select("position", *s.columns)
+    ends = s.groupBy("rec_id").agg((F.max("frame") + 1).alias("n"))
+    at = F.col("frame") + F.when(F.col("frame") < 0, F.col("n")).otherwise(0)
+    places = ends.crossJoin(F.broadcast(wanted)).select("rec_id", "position", at.alias("frame"))  # a row for each recording and entry of the list
+    return s.join(places, ["rec_id", "frame"]).select("position", *s.columns)
+
+
+def in_order(s: DataFrame) -> Iterator[tuple[int, int, list]]:
+    """(rec_id, frame, xs by channel) frame by frame, a partition at a time on the driver; an absent channel is None."""
+    frames = s.groupBy("rec_id", "frame").agg(F.collect_list(F.struct("channel", "x")).alias("v")).orderBy("rec_id", "frame")
+    for r in frames.toLocalIterator(prefetchPartitions=True):
+        xs: list = [None] * (1 + max(v.channel for v in r.v))
+        for v in r.v:
+            xs[v.channel] = v.x
+        yield r.rec_id, r.frame, xs
 
 
 def time_range(s: DataFrame, rates: DataFrame, start: float, stop: float) -> DataFrame:
@@ -103,12 +127,25 @@ def quantization_error(s: DataFrame, bits: int = 16) -> DataFrame:
     return q.groupBy("rec_id").agg(F.max(F.abs(F.col("x") - F.col("q") / float(1 << (bits - 1)))).alias("worst"))
 
 
+def difference_stats(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(rec_id, channel, n, worst, mean, std) of a - b over the frames that both have: greatest absolute value, mean, population standard deviation."""
+    d = a.join(b.withColumnRenamed("x", "y"), [*KEYS, "frame"]).select(*KEYS, (F.col("x") - F.col("y")).alias("d"), ((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))).alias("dd"))
+    n = F.count("d")
+    mean = _sum("d") / n
+    return d.groupBy(*KEYS).agg(n.alias("n"), F.max(F.abs("d")).alias("worst"), mean.alias("mean"), F.sqrt(F.greatest(_sum("dd") / n - mean * mean, F.lit(0.0))).alias("std"))
+
+
+def _by_block(rows: DataFrame, *more: str) -> DataFrame:
+    """Distinct samples of rows with a ``block``, partitioned by channel and block: what groups or orders by these needs no further shuffle."""
+    return rows.repartition(*KEYS, "block").groupBy(*KEYS, "block", "frame", *more).agg(F.max("x").alias("x"))
+
+
 def with_halo(s: DataFrame, before: int, after: int) -> DataFrame:
-    """Every row in its block, and again in the blocks that need it as one of ``before`` frames before or ``after`` after their own; ``own`` tells."""
+    """Every sample in its block, and again in the blocks that need it as one of ``before`` frames before or ``after`` after their own; ``own`` tells."""
     here = F.shiftright("frame", BITS)
     low, high = F.shiftright(F.col("frame") - after, BITS), F.shiftright(F.col("frame") + before, BITS)
     blocks = F.when(low == high, F.array(here)).otherwise(F.sequence(low, high))
-    return s.withColumn("block", F.explode(blocks)).withColumn("own", F.col("block") == here)
+    return _by_block(_keyed(s).withColumn("block", F.explode(blocks)).withColumn("own", F.col("block") == here), "own")
 
 
 def despike(s: DataFrame, thresh: float = 1.0, n: int = 1) -> DataFrame:
@@ -169,14 +206,8 @@ def tone(spark: SparkSession, duration: float, frequency: float, amplitude: floa
     return spark.range(math.ceil(duration * rate)).select(F.lit(rec_id).cast("bigint").alias("rec_id"), F.lit(channel).alias("channel"), F.col("id").alias("frame"), x.alias("x"))
 
 
-def to_blocks(s: DataFrame) -> DataFrame:
-    """(rec_id, channel, block, frames, xs): the samples of each block in order."""
-    rows = s.groupBy(*KEYS, F.shiftright("frame", BITS).alias("block")).agg(F.sort_array(F.collect_list(F.struct("frame", "x"))).alias("v"))
-    return rows.select(*KEYS, "block", F.col("v.frame").alias("frames"), F.col("v.x").alias("xs"))
-
-
-def _next_steps(x: np.ndarray, before: float, thresh: float, a: float) -> np.ndarray:
-    """(n, 3): for each sample and each of the steps -2a, 0, 2a before it, the index of the step after it."""
+def next_steps(x: np.ndarray, before: float, thresh: float, a: float) -> np.ndarray:
+    """(n, 3): for each sample and each of the steps -2a, 0, 2a before it, the index of the step after it. A null here or before keeps the step."""
     steps = np.array([-2.0 * a, 0.0, 2.0 * a])
     dd = x[:, None] - (np.concatenate([[before], x[:-1]])[:, None] + steps)
     c = np.where((x[:, None] >= 0) & (np.abs(dd - 2 * a) < np.abs(dd)), -2 * a, 0.0)
@@ -187,7 +218,7 @@ def _next_steps(x: np.ndarray, before: float, thresh: float, a: float) -> np.nda
     return index
 
 
-def _prefix_maps(m: np.ndarray) -> np.ndarray:
+def prefix_maps(m: np.ndarray) -> np.ndarray:
     """Compositions of the maps up to each place, by doubling."""
     m, d, rows = m.copy(), 1, np.arange(len(m))
     while d < len(m):
@@ -196,32 +227,61 @@ def _prefix_maps(m: np.ndarray) -> np.ndarray:
     return m
 
 
-def _unwrap_kernel(thresh: float, a: float, known: bool):
-    """(rec_id, channel, block, frames, xs, before[, entry]) -> the block's map of steps, or its samples with the step known."""
+def _map_kernel(thresh: float, a: float):
+    """(rec_id, channel, block, parts) -> the block's first and last sample and its map from the step after the first to the step after the last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, last, rest = [], [], []
+            for i in range(b.num_rows):
+                _, x = blocks.merged(b.column(3)[i].values)
+                first.append(x[0])
+                last.append(x[-1])
+                m = next_steps(x, np.nan, thresh, a)[1:]
+                while len(m) > 1:  # halves by composing neighbours
+                    odd, m = m[len(m) // 2 * 2 :], m[: len(m) // 2 * 2]
+                    m = np.concatenate([np.take_along_axis(m[1::2], m[::2], 1), odd])
+                rest.append((m[0] if len(m) else np.arange(3)).tolist())
+            cols = [*b.columns[:3], pa.array(first, pa.float64()), pa.array(last, pa.float64()), pa.array(rest, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["rec_id", "channel", "block", "first", "last", "rest"])
+
+    return run
+
+
+def _chain_kernel(thresh: float, a: float):
+    """Rows of ``_map_kernel`` in order of channel and block -> (rec_id, channel, block, before, entry): what every block starts with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, before, step = None, float("nan"), 1
+        for b in batches:
+            befores, entries = [], []
+            for rec, channel, first, last, rest in zip(*(b.column(c).to_pylist() for c in (0, 1, 3, 4, 5))):
+                if key != (rec, channel):
+                    key, before, step = (rec, channel), float("nan"), 1
+                befores.append(before)
+                entries.append(step)
+                step = rest[next_steps(np.array([first], float), before, thresh, a)[0, step]]
+                before = float("nan") if last is None else last
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(befores, pa.float64()), pa.array(entries, pa.int32())], names=["rec_id", "channel", "block", "before", "entry"])
+
+    return run
+
+
+def _columns(rec: int, channel: int, frame: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    cols = [pa.array(np.full(len(x), rec, np.int64)), pa.array(np.full(len(x), channel, np.int32)), pa.array(frame.astype(np.int64)), pa.array(x, pa.float64(), mask=np.isnan(x))]
+    return pa.RecordBatch.from_arrays(cols, names=["rec_id", "channel", "frame", "x"])
+
+
+def _unwrap_kernel(thresh: float, a: float, bits: int):
+    """(rec_id, channel, block, parts, before, entry) -> samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            parts: list[tuple] = []
             for i in range(b.num_rows):
-                rec, channel, block, before = (b.column(c)[i].as_py() for c in (0, 1, 2, 5))
-                x = b.column(4)[i].values.to_numpy(zero_copy_only=False)
-                maps = _next_steps(x, np.nan if before is None else before, thresh, a)
-                if before is None:
-                    maps[0] = np.arange(3)  # the first sample of a channel never changes
-                prefix = _prefix_maps(maps)
-                if known:
-                    step = (prefix[:, b.column(6)[i].as_py()] - 1) * 2.0 * a
-                    parts.append((np.full(len(x), rec), np.full(len(x), channel), b.column(3)[i].values.to_numpy(zero_copy_only=False), x + step))
-                else:
-                    out.append((rec, channel, block, prefix[-1].tolist()))
-            if known:
-                cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0)] * 4
-                x = pa.array(cols[3], pa.float64(), mask=np.isnan(cols[3]))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]).cast(pa.int64()), pa.array(cols[1]).cast(pa.int32()), pa.array(cols[2]).cast(pa.int64()), x], names=["rec_id", "channel", "frame", "x"])
-            else:
-                cols = list(zip(*out)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())))], names=["rec_id", "channel", "block", "map"])
+                rec, channel, block, before, entry = (b.column(c)[i].as_py() for c in (0, 1, 2, 4, 5))
+                frame, x = blocks.merged(b.column(3)[i].values)
+                prefix = prefix_maps(next_steps(x, before, thresh, a))
+                yield _columns(rec, channel, (block << bits) + frame, x + (prefix[:, entry] - 1) * 2.0 * a)
 
     return run
 
@@ -229,24 +289,18 @@ def _unwrap_kernel(thresh: float, a: float, known: bool):
 def unwrap(s: DataFrame, thresh: float = 1.5, ampl_max: float = 1.0, mode: str = "keep") -> DataFrame:
     """Undo the wrap-around of a range of +-ampl_max. ``mode`` keeps the result, clips it to the range, or halves it.
 
-    Each block is a map of the three possible steps before it to the step after it. Maps compose, so only one row per block
-    meets its neighbours in order, and every block is then computed with its first step known. A null keeps the step.
+    Each block is a map of the three possible steps before it to the step after it. Maps compose, so only one small row per block is
+    read in order, one after the other, and every block is then computed with its first step known. Blocks without samples
+    are passed over: a sample follows the one before it, however far. A null keeps the step.
     """
-    blocks = to_blocks(s)
-    last = blocks.select(*KEYS, (F.col("block") + 1).alias("block"), F.element_at("xs", -1).alias("before"), F.lit(True).alias("inner"))
-    blocks = blocks.join(last, [*KEYS, "block"], "left")
-    blocks = blocks.withColumn("before", F.when(F.col("inner"), F.coalesce("before", F.lit(float("nan"))))).select(*KEYS, "block", "frames", "xs", "before")
-    maps = blocks.mapInArrow(_unwrap_kernel(thresh, ampl_max, False), "rec_id bigint, channel int, block bigint, map array<int>")
-    chain = maps.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("block", "map"))).alias("maps"))
-
-    def onward(acc, m):
-        step = F.element_at(m["map"], F.element_at(acc, -1)["entry"] + 1)
-        return F.concat(acc, F.array(F.struct((m["block"] + 1).alias("block"), step.alias("entry"))))
-
-    start = F.array(F.struct(F.element_at("maps", 1)["block"].alias("block"), F.lit(1).alias("entry")))
-    entries = chain.select(*KEYS, F.explode(F.aggregate("maps", start, onward)).alias("e")).select(*KEYS, "e.block", "e.entry")
-    rows = blocks.join(entries, [*KEYS, "block"]).select(*KEYS, "block", "frames", "xs", "before", "entry")
-    rows = rows.mapInArrow(_unwrap_kernel(thresh, ampl_max, True), "rec_id bigint, channel int, frame bigint, x double")
+    if mode not in ("keep", "clip", "halve"):
+        raise ValueError("mode must be keep, clip or halve")
+    held = blocks.gathered(s, BITS)
+    maps = held.mapInArrow(_map_kernel(thresh, ampl_max), "rec_id bigint, channel int, block bigint, first double, last double, rest array<int>")
+    chained = maps.repartition(*KEYS).sortWithinPartitions(*KEYS, "block").mapInArrow(_chain_kernel(thresh, ampl_max), "rec_id bigint, channel int, block bigint, before double, entry int")
+    # every block is in the chain; a left join keeps both uses of ``held`` alike, so that its shuffle is done once; the hashed side has a row for 2**16 samples
+    rows = held.join(chained.hint("shuffle_hash"), [*KEYS, "block"], "left").select(*KEYS, "block", "parts", "before", "entry")
+    rows = rows.mapInArrow(_unwrap_kernel(thresh, ampl_max, BITS), "rec_id bigint, channel int, frame bigint, x double")
     return clip(rows, ampl_max) if mode == "clip" else scale(rows, 0.5) if mode == "halve" else rows
 
 
@@ -265,15 +319,19 @@ def chebyshev_sections(order: int, ripple_db: float, cutoff: float) -> np.ndarra
 
 
 def _filtfilt(x: np.ndarray, sections: np.ndarray, pad: int) -> np.ndarray:
-    """Zero-phase filter by the response of the sections in frequency, with odd extension at both ends."""
+    """The sections forward and backward over x with odd extension at both ends, each pass started in the steady state of its first value."""
     pad = min(pad, len(x) - 1)
-    ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad else x
-    n = 1 << (2 * len(ext)).bit_length()
+    y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad else x
+    settle = decimation_halo(sections)
+    n = 1 << (len(y) + 2 * settle).bit_length()
     w = np.exp(-1j * np.linspace(0, np.pi, n // 2 + 1))
     h = np.ones(len(w), complex)
     for b0, b1, b2, a0, a1, a2 in sections:
         h *= (b0 + b1 * w + b2 * w * w) / (a0 + a1 * w + a2 * w * w)
-    return np.fft.irfft(np.fft.rfft(ext, n) * np.abs(h) ** 2, n)[pad : pad + len(x)]
+    for _ in range(2):
+        held = np.concatenate([np.full(settle, y[0]), y])
+        y = np.fft.irfft(np.fft.rfft(held, n) * h, n)[settle : settle + len(y)][::-1]
+    return y[pad : pad + len(x)]
 
 
 def decimation_halo(sections: np.ndarray) -> int:
@@ -289,19 +347,18 @@ def decimate(s: DataFrame, q: int, halo: int | None = None) -> DataFrame:
     """
     sections = chebyshev_sections(8, 0.05, 0.8 / q)
     halo = decimation_halo(sections) if halo is None else halo
-    grouped = with_halo(s, halo, halo).groupBy(*KEYS, "block").agg(F.sort_array(F.collect_list(F.struct("frame", F.coalesce("x", F.lit(0.0)).alias("x")))).alias("v"))
+    bits = BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = []
             for i in range(b.num_rows):
-                v = b.column(3)[i].values
-                frame, x = (v.field(k).to_numpy(zero_copy_only=False) for k in ("frame", "x"))
-                y = _filtfilt(x, sections, 27)
-                keep = (frame >> BITS == b.column(2)[i].as_py()) & (frame % q == 0)
-                parts.append((np.full(keep.sum(), b.column(0)[i].as_py()), np.full(keep.sum(), b.column(1)[i].as_py()), frame[keep] // q, y[keep]))
-            if parts:
-                cols = [np.concatenate(c) for c in zip(*parts)]
-                yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["rec_id", "channel", "frame", "x"])
-
-    return grouped.mapInArrow(run, "rec_id bigint, channel int, frame bigint, x double")
+                rec, channel, block = (b.column(c)[i].as_py() for c in range(3))
+                offset, x = blocks.merged(b.column(3)[i].values)
+                if not ((offset >= 0) & (offset < 1 << bits)).any():
+                    continue
+                y = _filtfilt(np.nan_to_num(x), sections, 27)
+                frame = (block << bits) + offset
+                keep = (offset >= 0) & (offset < 1 << bits) & (frame % q == 0)
+                yield _columns(rec, channel, frame[keep] // q, y[keep])
+
+    return blocks.gathered(s, bits, halo, halo).mapInArrow(run, "rec_id bigint, channel int, frame bigint, x double")

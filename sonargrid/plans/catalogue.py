@@ -135,25 +135,38 @@ def _despike_sql(n: int, thresh: float) -> str:
 
 @query(_despike_sql(1, 0.5))
 def despike_1(spark, d):
-    return sig.despike(_signal(spark, d), 0.5, 1)
+    return sig.despike(table(spark, d, "samples"), 0.5, 1)
 
 
 @query(_despike_sql(2, 0.3))
 def despike_2(spark, d):
-    return sig.despike(_signal(spark, d), 0.3, 2)
+    return sig.despike(table(spark, d, "samples"), 0.3, 2)
 
 
-@query()
+def _unwrap_sql(wrapped: str, out: str, levels: int = 20) -> str:
+    """Each sample maps the three steps before it (places 1 to 3) to the step after it; up to 2**levels samples a channel are composed by doubling."""
+    ctes = [_SIG, f"w AS (SELECT rec_id, channel, frame, {wrapped} AS x FROM sig)", "b AS (SELECT *, lag(x) OVER (PARTITION BY rec_id, channel ORDER BY frame) AS p FROM w)",
+            "d AS (SELECT rec_id, channel, frame, x, list_transform([-2.0::DOUBLE, 0.0::DOUBLE, 2.0::DOUBLE], lambda s: x - (p + s)) AS dd FROM b)",
+            "c AS (SELECT *, list_transform(dd, lambda d: CASE WHEN x >= 0 AND abs(d - 2) < abs(d) THEN -2 ELSE 0 END) AS c1 FROM d)",
+            "e AS (SELECT *, list_transform([1, 2, 3], lambda i: CASE WHEN x <= 0 AND abs(dd[i] + 2) < abs(dd[i] + c1[i]) THEN 2 ELSE c1[i] END) AS c2 FROM c)",
+            "m0 AS (SELECT rec_id, channel, frame, x, list_transform([1, 2, 3], lambda i: CASE WHEN dd[i] IS NOT NULL AND (c2[i] = 0 OR abs(dd[i]) > 1.5::DOUBLE) THEN c2[i] // 2 + 2 ELSE i END) AS m FROM e)"]
+    for k in range(levels):
+        ctes += [f"l{k} AS (SELECT *, lag(m, {1 << k}) OVER (PARTITION BY rec_id, channel ORDER BY frame) AS q FROM m{k})",
+                 f"m{k + 1} AS (SELECT rec_id, channel, frame, x, CASE WHEN q IS NULL THEN m ELSE [m[q[1]], m[q[2]], m[q[3]]] END AS m FROM l{k})"]
+    return f"WITH {', '.join(ctes)}, u AS (SELECT rec_id, channel, frame, x + (m[2] - 2) * 2.0::DOUBLE AS x FROM m{levels}) SELECT rec_id, channel, frame, {out} AS x FROM u"
+
+
+@query(_unwrap_sql("x * 2.0::DOUBLE - 2.0::DOUBLE * floor((x * 2.0::DOUBLE + 1.0::DOUBLE) / 2.0::DOUBLE)", "x"))
 def unwrap(spark, d):
-    """Twice the samples, wrapped into the range, are unwrapped again. Its oracle is a loop, in tests/test_signal.py."""
+    """Twice the samples, wrapped into the range, are unwrapped again."""
     doubled = sig.scale(_signal(spark, d), 2.0)
     wrapped = doubled.withColumn("x", F.col("x") - 2.0 * F.floor((F.col("x") + 1.0) / 2.0))
     return sig.unwrap(wrapped)
 
 
-@query()
+@query(_unwrap_sql("x", "CASE WHEN x IS NOT NULL THEN least(greatest(x, -1.0::DOUBLE), 1.0::DOUBLE) END"))
 def unwrap_clip(spark, d):
-    return sig.unwrap(sig.signal(table(spark, d, "samples")), mode="clip")
+    return sig.unwrap(table(spark, d, "samples"), mode="clip")
 
 
 @query(f"""WITH {_SIG}, n AS (SELECT rec_id, channel, max(frame) + 1 AS n FROM sig GROUP BY rec_id, channel),
@@ -169,9 +182,41 @@ def decimate_nofilter(spark, d):
     return sig.decimate_plain(_signal(spark, d), 4)
 
 
-@query()
+def _decimate_sql(q: int, taps: int) -> str:
+    """Four sections by recursion over their impulse response; then two passes of plain convolution, from the steady state of the first value, over samples with odd ends."""
+    pole = "sqrt(power(10, 0.005::DOUBLE) - 1)"
+    sections = []
+    for i in range(4):
+        th = f"(pi() * {2 * i + 1} / 16)"
+        re, im = f"(-2 * tan(pi() * 0.4::DOUBLE / {q}) * sinh(mu) * sin{th})", f"(2 * tan(pi() * 0.4::DOUBLE / {q}) * cosh(mu) * cos{th})"
+        # z = (2 + p) / (2 - p)
+        sections.append(f"-2 * (4 - {re} * {re} - {im} * {im}) / ((2 - {re}) * (2 - {re}) + {im} * {im}) AS a{i}, ((2 + {re}) * (2 + {re}) + {im} * {im}) / ((2 - {re}) * (2 - {re}) + {im} * {im}) AS b{i}")
+    gain = " * ".join(f"(1 + a{i} + b{i}) / 4" for i in range(4))
+    state = ", ".join(f"0.0::DOUBLE AS u{i}, 0.0::DOUBLE AS v{i}" for i in range(4))
+    # w is a section's inner value; its output w + 2 u + v is the next section's input
+    inner, x = [], "(CASE WHEN n + 1 = 0 THEN g ELSE 0.0::DOUBLE END)"
+    for i in range(4):
+        w = f"({x} - a{i} * u{i} - b{i} * v{i})"
+        inner.append(w)
+        x = f"({w} + 2 * u{i} + v{i})"
+    step = ", ".join(f"{w}, u{i}" for i, w in enumerate(inner))
+    one = lambda src, dst, order: f"""{dst} AS (SELECT s.k, s.place, sum(h.h * p.x) + first(f.x) * first(r.rest) AS x FROM {src} s JOIN h ON h.n <= s.{order} JOIN {src} p ON p.k = s.k AND p.{order} = s.{order} - h.n JOIN (SELECT k, x FROM {src} WHERE {order} = 0) f ON f.k = s.k JOIN tail r ON r.n = least(s.{order}, {taps}) {{}} GROUP BY s.k, s.place)"""
+    return f"""WITH RECURSIVE {_SIG}, c AS (SELECT *, ({gain}) / sqrt(1 + eps * eps) AS g FROM (SELECT *, {', '.join(sections)} FROM (SELECT {pole} AS eps, asinh(1 / {pole}) / 8 AS mu))),
+imp(n, h, u0, v0, u1, v1, u2, v2, u3, v3) AS (SELECT -1, 0.0::DOUBLE, {state} UNION ALL SELECT n + 1, {x}, {step} FROM imp, c WHERE n < {taps}),
+h AS (SELECT n, h FROM imp WHERE n >= 0), tail AS (SELECT n, 1 / any_value(sqrt(1 + eps * eps)) - sum(any_value(h)) OVER (ORDER BY n) AS rest FROM h, c GROUP BY n),
+z AS (SELECT rec_id, channel, rec_id * 1000 + channel AS k, (row_number() OVER w - 1)::BIGINT AS i, coalesce(x, 0) AS x, count(*) OVER (PARTITION BY rec_id, channel) AS n FROM sig WINDOW w AS (PARTITION BY rec_id, channel ORDER BY frame)),
+pads AS (SELECT z.k, -z.i AS place, 2 * f.x - z.x AS x FROM z JOIN (SELECT k, x FROM z WHERE i = 0) f USING (k) JOIN (SELECT k, least(27, any_value(n) - 1) AS p FROM z GROUP BY k) e USING (k) WHERE z.i BETWEEN 1 AND e.p
+  UNION ALL SELECT z.k, 2 * (z.n - 1) - z.i, 2 * f.x - z.x FROM z JOIN (SELECT k, x FROM z WHERE i = n - 1) f USING (k) WHERE z.i BETWEEN z.n - 1 - least(27, z.n - 1) AND z.n - 2),
+ext AS (SELECT k, place, x, (row_number() OVER (PARTITION BY k ORDER BY place) - 1)::BIGINT AS i FROM (SELECT k, i AS place, x FROM z UNION ALL SELECT * FROM pads)),
+{one("ext", "fwd", "i").format("")},
+rev AS (SELECT k, place, x, (row_number() OVER (PARTITION BY k ORDER BY place DESC) - 1)::BIGINT AS i FROM fwd),
+{one("rev", "bwd", "i").format(f"WHERE s.place % {q} = 0")}
+SELECT z.rec_id, z.channel, z.i // {q} AS frame, round_even(bwd.x * 1e6, 0)::BIGINT AS x_micro FROM z JOIN bwd ON bwd.k = z.k AND bwd.place = z.i"""
+
+
+@query(_decimate_sql(4, 900))
 def decimate_filtered(spark, d):
-    return sig.decimate(_signal(spark, d), 4)
+    return sig.decimate(table(spark, d, "samples"), 4).select("rec_id", "channel", "frame", F.rint(F.col("x") * 1e6).cast("bigint").alias("x_micro"))
 
 
 @query(f"""WITH {_SIG}, n AS (SELECT rec_id, channel, max(frame) AS last FROM sig GROUP BY rec_id, channel),
@@ -180,7 +225,7 @@ g AS (SELECT *, least(floor(k * 1.6::DOUBLE)::BIGINT, last) AS f FROM k)
 SELECT g.rec_id, g.channel, g.k AS frame, round_even((CASE WHEN f < last AND k * 1.6::DOUBLE > f THEN a.x + (b.x - a.x) * (k * 1.6::DOUBLE - f) ELSE a.x END) * 1e9, 0)::BIGINT AS x_nano
 FROM g JOIN sig a ON a.rec_id = g.rec_id AND a.channel = g.channel AND a.frame = g.f LEFT JOIN sig b ON b.rec_id = g.rec_id AND b.channel = g.channel AND b.frame = g.f + 1""")
 def resample_linear(spark, d):
-    return sig.resample_linear(_signal(spark, d), 1.6).select("rec_id", "channel", "frame", _nano("x"))
+    return sig.resample_linear(table(spark, d, "samples"), 1.6).select("rec_id", "channel", "frame", _nano("x"))
 
 
 @query("SELECT i AS frame, round_even(0.5::DOUBLE * sin(2 * pi() * 880 * (i / 44100.0::DOUBLE)) * 1e9, 0)::BIGINT AS x_nano FROM range(0, 4410) t(i)")
@@ -208,12 +253,6 @@ def sig_blocks(s: DataFrame, size: int, overlap: int) -> DataFrame:
     return rec.into_blocks(s, size, overlap).groupBy("rec_id", "channel", "block").agg(F.count("*").alias("n"), F.count("x").alias("known"), F.max("x").alias("high"))
 
 
-@query("WITH e AS (SELECT vec_id, unnest(embedding) AS v FROM embeddings) SELECT vec_id, count(v) AS n, min(v)::DOUBLE AS low, max(v)::DOUBLE AS high FROM e GROUP BY vec_id")
-def embedding_channels(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.explode("embedding").alias("v"))
-    return e.groupBy("vec_id").agg(F.count("v").alias("n"), F.min("v").cast("double").alias("low"), F.max("v").cast("double").alias("high"))
-
-
 # files and markers
 
 @query(f"WITH {_FILES}, o AS (SELECT rec_id, file_idx, frames, coalesce(sum(frames) OVER (PARTITION BY rec_id ORDER BY file_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM fs) SELECT rec_id, file_idx, frames, off AS \"offset\", off + coalesce(frames, 0) AS until FROM o")
