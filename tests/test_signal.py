@@ -3,6 +3,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from sonargrid.operators import blocks
 from sonargrid.operators import signal as sig
 
 SCHEMA = "rec_id bigint, channel int, frame bigint, x double"
@@ -122,3 +123,61 @@ def test_decimate_leaves_no_seams(spark, q):
     x = 0.5 + np.sin(2 * np.pi * t / 1700) + np.random.default_rng(q).normal(size=len(t))
     got = values(sig.decimate(frame_of(spark, x), q))
     assert np.abs(got - sig._filtfilt(x, sig.chebyshev_sections(8, 0.05, 0.8 / q), 27)[::q]).max() < 1e-8
+
+
+def test_unwrap_keeps_all_samples_across_missing_blocks(spark, short_blocks):
+    y = 1.6 * np.sin(2 * np.pi * 0.004 * np.arange(1000))
+    x = y - 2 * np.floor((y + 1) / 2)
+    at = [i for i in range(1000) if not 100 <= i < 300 and not 640 <= i < 704]
+    df = spark.createDataFrame([(1, 0, i, float(x[i])) for i in at] + [(1, 1, 7, 0.5)], SCHEMA)
+    got = sig.unwrap(df)
+    assert got.count() == len(at) + 1 and np.allclose(values(got.where("channel = 0")), unwrapped(x[at], 1.5, 1.0), atol=1e-12)
+
+
+def test_decimate_equals_two_passes_of_recursion(spark):
+    x = np.random.default_rng(5).normal(size=300) + 3
+    sections = sig.chebyshev_sections(8, 0.05, 0.2)
+
+    def passed(x):
+        for b0, b1, b2, _, a1, a2 in sections:
+            gain = (b0 + b1 + b2) / (1 + a1 + a2)
+            w = x[0] / (1 + a1 + a2)
+            u = v = w  # steady state
+            y = np.empty(len(x))
+            for i, s in enumerate(x):
+                w = s - a1 * u - a2 * v
+                y[i] = b0 * w + b1 * u + b2 * v
+                u, v = w, u
+            assert abs(y[0] - x[0] * gain) < 1e-9
+            x = y
+        return x
+
+    ext = np.concatenate([2 * x[0] - x[27:0:-1], x, 2 * x[-1] - x[-2:-29:-1]])
+    want = passed(passed(ext)[::-1])[::-1][27:-27][::4]
+    assert np.abs(values(sig.decimate(frame_of(spark, x), 4)) - want).max() < 1e-9
+
+
+def test_differences_and_order(spark):
+    a, b = np.array([1.0, 2.0, np.nan, 4.0]), np.array([1.5, 2.0, 3.0, 2.0])
+    (r,) = rows(sig.difference_stats(frame_of(spark, a), frame_of(spark, b)))
+    d = np.array([-0.5, 0.0, 2.0])
+    assert r[2] == 3 and r[3] == 2.0 and abs(r[4] - d.mean()) < 1e-9 and abs(r[5] - d.std()) < 1e-8
+    assert list(sig.in_order(frame_of(spark, a[:2]).unionByName(frame_of(spark, b[:1], channel=1)))) == [(1, 0, [1.0, 1.5]), (1, 1, [2.0])]
+    two = frame_of(spark, a).unionByName(frame_of(spark, b[:2], rec=2))
+    assert sorted((r[0], r[1], r[3]) for r in rows(sig.take_frames(two, [-1, 0, 3, -4]))) == [(0, 1, 3), (0, 2, 1), (1, 1, 0), (1, 2, 0), (2, 1, 3), (3, 1, 0)]
+
+
+@pytest.mark.parametrize(("n", "size", "overlap"), [(100, 10, 0), (25, 10, 5), (26, 10, 5), (3, 10, 5)])
+def test_functions_over_blocks(spark, n, size, overlap):
+    df = frame_of(spark, np.arange(float(n))).unionByName(frame_of(spark, -np.arange(float(n)), channel=1))
+    df = df.unionByName(df.limit(3))
+    got = blocks.map_blocks(df, lambda rec, start, x: [(rec, start, len(x), float(x[:, 0].sum()), float(x[:, 1].min()))], "rec_id bigint, start bigint, n int, total double, low double", size, overlap)
+    step, want, start = size - overlap, [], 0
+    while True:
+        x = np.arange(start, min(start + size, n))
+        want.append((1, start, len(x), float(x.sum()), -float(x.max()) + 0.0))
+        if start + size >= n:
+            break
+        start += step
+    assert sorted(rows(got), key=lambda r: r[1]) == want
+    assert blocks.map_blocks(df.limit(0), lambda *a: [], "a int", 5).count() == 0
