@@ -93,8 +93,11 @@ class SuffixAutomaton:
                         high[p] = high[v]
         return self
 
-    def shared(self, symbols: Sequence, least: int) -> list[tuple[int, int]]:
-        """Maximal runs [a, b) of starts of windows of ``least`` symbols that have two or more owners in this automaton."""
+    def shared(self, symbols: Sequence, places: Sequence[int], least: int) -> list[tuple[int, int]]:
+        """Maximal runs [a, b) of starts of windows of ``least`` units that have two or more owners in this automaton.
+
+        Symbol i spans the units from ``places[i]`` to ``places[i + 1]``.
+        """
         nxt, link, length, low, high = self.next, self.link, self.len, self.low, self.high
         v = n = 0
         runs: list[list[int]] = []
@@ -112,12 +115,12 @@ class SuffixAutomaton:
                 continue
             v = w
             n += 1
-            if n >= least:
-                s = i + 1 - least
-                if runs and runs[-1][1] == s:
-                    runs[-1][1] = s + 1
+            a, b = places[i + 1 - n], places[i + 1] - least + 1
+            if b > a:
+                if runs and runs[-1][1] >= a:
+                    runs[-1][1] = b
                 else:
-                    runs.append([s, s + 1])
+                    runs.append([a, b])
         return [tuple(r) for r in runs]
 
     def owned(self, sequences: Sequence[tuple[object, Sequence]]) -> SuffixAutomaton:

@@ -4,14 +4,16 @@ A window of text is shared if it stands, code point by code point, in a record w
 by record would stream every record past every shard, which is quadratic. Here the shards are made by content: every
 window has one anchor, the k-gram of least hash in it, and equal windows have equal anchors at equal offsets. So only the
 stretches around an anchor that several texts hold meet in a shard, where a generalised suffix automaton of the
-distinct stretches is built and every stretch streamed past it for its matching statistics. Equal texts are taken together
-first. An anchor with very many stretches is split by the position of the window around it, as often as needed, by ever
-longer common text; at the last step a shard holds equal windows only.
+distinct stretches is built and every stretch streamed past it for its matching statistics. Stretches are aligned at their anchor,
+so they are cut into symbols where any two of them part: the automaton is that of the code points with its unbranched paths
+drawn together, and has a few states a stretch. Equal texts are taken together first. A shard with very many distinct stretches is split by
+the position of the window around the anchor, as often as needed, by ever longer common text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonargrid.llm.automaton import SuffixAutomaton
-from sonargrid.session import checkpoint
+from sonargrid.operators.blocks import lists
+from sonargrid.session import checkpoint, join_checked
 
 GRAM = 32
-#: Members up to which an anchor's stretches go into one automaton.
+#: Distinct stretches up to which a shard goes into one automaton; one with more is split.
 CROWD = 400
 #: Code points hashed at once; a longer text is cut into parts that overlap by a window less one.
 PART = 1 << 22
@@ -79,7 +82,7 @@ def anchors(points: np.ndarray, of: np.ndarray, window: int, gram: int = GRAM) -
 
 
 def _anchor_kernel(window: int):
-    """(text_key, lo, hi, text) -> (text_key, lo, hi, anchor, place, first, last)."""
+    """(doc_id, text_key, text) -> (doc_id, text_key, part, anchor, place, first, last), the last four as lists; a row for each part of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(parts: list[tuple[int, int, str]], b: pa.RecordBatch):
@@ -89,16 +92,18 @@ def _anchor_kernel(window: int):
             of = np.repeat(np.arange(len(parts)), sizes)
             h, place, first, last = anchors(points, of, window)
             k = of[place]
-            shift = np.array([o for _, o, _ in parts])[k] - begin[k]
-            rows = pa.array(np.array([r for r, _, _ in parts])[k])
+            start = np.array([o for _, o, _ in parts])
+            shift = start[k] - begin[k]
+            rows = pa.array([r for r, _, _ in parts])
+            n = np.bincount(k, minlength=len(parts))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c).take(rows) for c in range(3)), pa.array(h.view(np.int64)), *(pa.array((x + shift).astype(np.int32)) for x in (place, first, last))],
-                names=["text_key", "lo", "hi", "anchor", "place", "first", "last"],
+                [b.column(0).take(rows), b.column(1).take(rows), pa.array(start.astype(np.int32)), lists(n, h.view(np.int64)), *(lists(n, (x + shift).astype(np.int32)) for x in (place, first, last))],
+                names=["doc_id", "text_key", "part", "anchor", "place", "first", "last"],
             )
 
         for b in batches:
             parts, held = [], 0
-            for r, text in enumerate(b.column(3).to_pylist()):
+            for r, text in enumerate(b.column(2).to_pylist()):
                 for o in range(0, len(text) - window + 1, PART - window + 1):
                     part = text[o : o + PART]
                     if held + len(part) > PART and parts:
@@ -142,67 +147,113 @@ def _member_kernel(window: int):
     return run
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the common start of two texts."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low = 0
+    while n - low > 1:
+        mid = (low + n) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            n = mid
+    return low
+
+
+def _partings(texts: set[str]) -> list[int]:
+    """Every length at which two of the texts part, in order; a text that starts another parts from it at its end."""
+    held = sorted(texts)
+    return sorted({_common(a, b) for a, b in zip(held, held[1:])})
+
+
+def solve(stretches: dict[tuple[str, int], tuple[int, int]], window: int) -> dict[tuple[str, int], list[tuple[int, int]]]:
+    """Runs of starts of shared windows of every stretch (text, offset of its anchor) with its least and greatest owner.
+
+    Stretches are aligned at their anchors. They are cut where any two of them part, to the right and to the left of the anchor, so a
+    longest match of symbols is a longest match of code points.
+    """
+    runs: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    single = [s for s, (lo, hi) in stretches.items() if lo == hi]
+    for s in stretches.keys() - set(single):
+        runs[s] = [(0, len(s[0]) - window + 1)]
+    if not single or (len(stretches) == 1):
+        return runs
+    right = _partings({t[o:] for t, o in stretches})
+    left = [-x for x in reversed(_partings({t[:o][::-1] for t, o in stretches}))]
+    cuts = [*left, *(x for x in right if x > 0)]
+    automaton = SuffixAutomaton()
+    coded = {}
+    for (text, o), (lo, hi) in stretches.items():
+        places = [0, *(o + x for x in cuts if 0 < o + x < len(text)), len(text)]
+        symbols = [(a - o, text[a:b]) for a, b in zip(places, places[1:])]
+        coded[text, o] = symbols, places
+        automaton.add(symbols, lo, hi)
+    automaton.settle()
+    for s in single:
+        runs[s] = automaton.shared(*coded[s], window)
+    return runs
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows in groups of their first column."""
+    rows: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and row[0] != rows[0][0]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _packed(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names=names)
+
+
 def _shard_kernel(window: int):
-    """Rows sorted by shard: (shard, text_key, lo, hi, base, seg) -> (text_key, a, b), runs of starts of shared windows."""
-
-    def solve(rows: list[tuple]) -> Iterator[tuple]:
-        held: dict[str, list] = {}
-        for _, _, lo, hi, _, seg in rows:
-            x = held.setdefault(seg, [lo, hi])
-            x[0], x[1] = min(x[0], lo), max(x[1], hi)
-        lows, highs = min(x[0] for x in held.values()), max(x[1] for x in held.values())
-        if lows == highs:
-            return
-        runs: dict[str, list] = {}
-        automaton = None
-        for seg, (lo, hi) in held.items():
-            if lo != hi:
-                runs[seg] = [(0, len(seg) - window + 1)]
-            else:
-                if automaton is None:
-                    automaton = SuffixAutomaton()
-                    for s, (x, y) in held.items():
-                        automaton.add(s, x, y)
-                    automaton.settle()
-                runs[seg] = automaton.shared(seg, window)
-        for _, key, _, _, base, seg in rows:
-            for a, b in runs[seg]:
-                yield key, base + a, base + b
+    """Rows sorted by shard: (shard, text_key, lo, hi, base, far, seg) -> (text_key, a, b), runs of starts of shared windows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["text_key", "a", "b"]
-
-        def pack(out: list[tuple]) -> pa.RecordBatch:
-            k, a, b = zip(*out)
-            return pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=names)
-
-        rows: list[tuple] = []
-        out: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and row[0] != rows[0][0]:
-                    out += solve(rows)
-                    rows = []
-                    if len(out) > 10_000:
-                        yield pack(out)
-                        out = []
-                rows.append(row)
-        if rows:
-            out += solve(rows)
-        if out:
-            yield pack(out)
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for rows in _by_shard(batches):
+            held: dict[tuple[str, int], tuple[int, int]] = {}
+            for _, _, lo, hi, _, far, seg in rows:
+                x = held.get((seg, far))
+                held[seg, far] = (lo, hi) if x is None else (min(x[0], lo), max(x[1], hi))
+            if min(x[0] for x in held.values()) == max(x[1] for x in held.values()):
+                continue
+            runs = solve(held, window)
+            for _, key, _, _, base, far, seg in rows:
+                for a, b in runs[seg, far]:
+                    yield key, base + a, base + b
 
-    return run
+    return lambda batches: _packed(found(batches), ["text_key", "a", "b"], [pa.binary(), pa.int32(), pa.int32()])
+
+
+def _distinct_kernel(window: int):
+    """Distinct stretches sorted by shard: (shard, far, seg, lo, hi) -> (shard, far, seg, a, b)."""
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for rows in _by_shard(batches):
+            for (seg, far), runs in solve({(seg, far): (lo, hi) for _, far, seg, lo, hi in rows}, window).items():
+                for a, b in runs:
+                    yield rows[0][0], far, seg, a, b
 
-def _crowds(rows: DataFrame, window: int, crowd: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Split shards of more than ``crowd`` members until none is left: (rows for automata, runs of shared starts).
+    return lambda batches: _packed(found(batches), ["shard", "far", "seg", "a", "b"], [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()])
+
+
+def _crowds(rows: DataFrame, window: int, crowd: int) -> list[DataFrame]:
+    """Runs of shared starts of shards with many members (shard, text_key, lo, hi, place, base, near, far, seg).
 
     A row stands for the windows whose anchor lies ``near``..``far`` behind their start. Each step halves the range, and
-    keys the halves by the text that all of their windows hold. A shard whose members are all equal is shared as a whole,
-    and one of a single range ends there, as its windows are its keys.
+    keys the halves by the text that all of their windows hold. Equal stretches are one before they meet, however many members
+    they have, so a shard is done once it has at most ``crowd`` distinct ones. After the last step the windows of a shard are its key,
+    and it is done with whatever it holds: equal windows, and others only by a collision of hashes, which the automaton tells apart.
     """
-    small, shared = [], []
+    out = []
     width = 1 << (window - 1).bit_length()
     while width > 1:
         width //= 2
@@ -212,20 +263,22 @@ def _crowds(rows: DataFrame, window: int, crowd: int) -> tuple[list[DataFrame],
         parts = rows.withColumn("part", F.explode(lows)).select("shard", "text_key", "lo", "hi", "place", "base", "seg", "part.*")
         first = F.col("place") - F.col("far")  # start of the first window, in the text
         core = F.substring("seg", F.col("place") - F.col("low") - F.col("base") + 1, F.lit(window) - width + 1)
-        parts = parts.select(
+        parts = checkpoint(parts.select(
             F.xxhash64("shard", "low", core).alias("shard"), "text_key", "lo", "hi", "place", "near", "far", first.alias("base"),
             F.substring("seg", first - F.col("base") + 1, F.col("far") - F.col("near") + window).alias("seg"),
-        )
-        parts = checkpoint(parts)
-        about = parts.groupBy("shard").agg(F.count("*").alias("n"), F.min("lo").alias("l"), F.max("hi").alias("h"), F.min("seg").alias("s0"), F.max("seg").alias("s1"))
-        about = about.where("l <> h").select("shard", "n", (F.col("s0") == F.col("s1")).alias("equal"))
-        parts = checkpoint(parts.join(about, "shard"))
-        shared.append(parts.where("equal").select("text_key", F.col("base").cast("int").alias("a"), (F.col("base") + F.col("far") - F.col("near") + 1).cast("int").alias("b")))
-        small.append(parts.where(f"NOT equal AND n <= {crowd}").select("shard", "text_key", "lo", "hi", F.col("base").cast("int").alias("base"), "seg"))
-        rows = parts.where(f"NOT equal AND n > {crowd}").drop("n", "equal")
-        if rows.isEmpty():
+        ))
+        distinct = parts.groupBy("shard", "far", "seg").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        about = distinct.groupBy("shard").agg(F.count("*").alias("n"), F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("shard", "n")
+        about = checkpoint(about)
+        done = about.where(f"n <= {crowd}") if width > 1 else about
+        ready = distinct.join(done.select("shard"), "shard").select("shard", "far", "seg", "lo", "hi").repartition("shard").sortWithinPartitions("shard")
+        runs = checkpoint(ready.mapInArrow(_distinct_kernel(window), "shard bigint, far int, seg string, a int, b int"))
+        out.append(join_checked(parts.select("shard", "far", "seg", "text_key", "base"), runs, ["shard", "far", "seg"]).select("text_key", (F.col("base") + F.col("a")).cast("int").alias("a"), (F.col("base") + F.col("b")).cast("int").alias("b")))
+        left = about.where(f"n > {crowd}") if width > 1 else about.limit(0)
+        if left.isEmpty():
             break
-    return small, shared
+        rows = parts.join(left.select("shard"), "shard")
+    return out
 
 
 def shared_spans(documents: DataFrame, window: int = 250, crowd: int = CROWD) -> DataFrame:
@@ -238,31 +291,27 @@ def shared_spans(documents: DataFrame, window: int = 250, crowd: int = CROWD) ->
     if window <= GRAM:
         raise ValueError(f"a window must hold more than {GRAM} code points")
     docs = documents.where("doc_id IS NOT NULL").select("doc_id", "text").where(F.length("text") >= window)
-    key = F.unhex(F.md5("text"))
-    texts = docs.groupBy(key.alias("text_key")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("text").alias("text"))
-    found = checkpoint(
-        texts.select("text_key", "lo", "hi", "text").mapInArrow(_anchor_kernel(window), "text_key binary, lo bigint, hi bigint, anchor bigint, place int, first int, last int")
-    )
-    about = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("anchor", "n")
-    placed = found.join(about, "anchor").groupBy("text_key").agg(F.collect_list(F.struct("anchor", "n", "place", "first", "last")).alias("at"))
+    docs = docs.select(F.col("doc_id").cast("bigint"), F.unhex(F.md5("text")).alias("text_key"), "text")
+    columns = ["anchor", "place", "first", "last"]
+    kept = "doc_id bigint, text_key binary, part int, anchor array<bigint>, place array<int>, first array<int>, last array<int>"
+    parts = docs.mapInArrow(_anchor_kernel(window), kept).groupBy("text_key", "part")
+    found = checkpoint(parts.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), *(F.first(c).alias(c) for c in columns)))
+    each = found.select("text_key", "lo", "hi", F.explode(F.arrays_zip(*columns)).alias("x")).select("text_key", "lo", "hi", "x.*")
+    about = each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("anchor", "n")
+    placed = each.join(about, "anchor").groupBy("text_key", "lo", "hi").agg(F.collect_list(F.struct("anchor", "n", "place", "first", "last")).alias("at"))
     schema = "shard bigint, text_key binary, lo bigint, hi bigint, place int, base int, n bigint, near int, far int, seg string"
-    members = texts.join(placed, "text_key").select("text_key", "lo", "hi", "text", "at").mapInArrow(_member_kernel(window), schema)
-    plain = ["shard", "text_key", "lo", "hi", "base", "seg"]
-    small, shared = [members.where(F.col("n") <= crowd).select(*plain)], []
-    if not about.where(F.col("n") > crowd).isEmpty():
-        more, shared = _crowds(members.where(F.col("n") > crowd).drop("n"), window, crowd)
-        small += more
-    rows = small[0]
-    for r in small[1:]:
-        rows = rows.unionByName(r)
+    one = docs.join(placed.withColumn("doc_id", F.col("lo")), ["doc_id", "text_key"])  # of equal texts that of the least record
+    members = one.select("text_key", "lo", "hi", "text", "at").mapInArrow(_member_kernel(window), schema)
+    rows = members.where(F.col("n") <= crowd).select("shard", "text_key", "lo", "hi", "base", "far", "seg")
     runs = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shard_kernel(window), "text_key binary, a int, b int")
-    for r in shared:
-        runs = runs.unionByName(r)
+    if not about.where(F.col("n") > crowd).isEmpty():
+        for r in _crowds(members.where(F.col("n") > crowd).drop("n"), window, crowd):
+            runs = runs.unionByName(r)
     order = Window.partitionBy("text_key").orderBy("a")
     runs = runs.withColumn("new", F.coalesce((F.col("a") > F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)))
     runs = runs.withColumn("k", F.sum("new").over(order)).groupBy("text_key", "k").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     spans = runs.select("text_key", F.col("a").cast("bigint").alias("start_char"), (F.col("b") + (window - 1)).cast("bigint").alias("end_char"))
-    return docs.select("doc_id", key.alias("text_key")).distinct().join(spans, "text_key").select("doc_id", "start_char", "end_char")
+    return docs.select("doc_id", "text_key").distinct().join(spans, "text_key").select("doc_id", "start_char", "end_char")
 
 
 def coverage(documents: DataFrame, spans: DataFrame) -> DataFrame:

@@ -54,11 +54,31 @@ def test_automaton_shares_what_two_owners_hold(texts, least):
         a.add(t, i)
     a.settle()
     for i, t in enumerate(texts):
-        got = {s for x, y in a.shared(t, least) for s in range(x, y)}
+        got = {s for x, y in a.shared(t, range(len(t) + 1), least) for s in range(x, y)}
         want = {s for s in range(len(t) - least + 1) if any(t[s : s + least] in u for j, u in enumerate(texts) if j != i)}
         assert got == want
 
 
+side = st.text("ab", max_size=6)
+
+
+@given(st.lists(st.tuples(side, side, st.integers(0, 2), st.integers(0, 1)), min_size=1, max_size=8), st.integers(9, 12))
+@settings(max_examples=500, deadline=None)
+def test_stretches_cut_where_they_part_equal_brute_force(sides, window):
+    held = {}
+    for left, right, owner, more in sides:
+        if len(left) + 3 + len(right) >= window:
+            x = held.get((left + "###" + right, len(left)), (owner, owner + more))
+            held[left + "###" + right, len(left)] = min(x[0], owner), max(x[1], owner + more)
+    if not held:
+        return
+    got = spans.solve(held, window)
+    for (text, o), (lo, hi) in held.items():
+        mine = {s for a, b in got.get((text, o), []) for s in range(a, b)}
+        others = {(p - i, t[i : i + window]) for (t, p), (x, y) in held.items() if lo != hi or (x, y) != (lo, lo) for i in range(len(t) - window + 1)}
+        assert mine == {s for s in range(len(text) - window + 1) if (o - s, text[s : s + window]) in others}
+
+
 def test_anchors_cover_every_window_once():
     rng = np.random.default_rng(1)
     points, of = rng.integers(97, 100, 5000).astype(np.uint32), np.repeat(np.arange(5), 1000)
