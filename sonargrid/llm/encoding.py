@@ -9,7 +9,6 @@ by a first pass. The most likely labelling gives the garbled spans; each gets it
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonargrid.session import checkpoint
+from sonargrid.session import checkpoint, join_checked
 
 # Fixed values: (state, written in, read in); "utf-8*2" went through the same mistake twice.
 PAIRS = [
@@ -50,30 +49,90 @@ def _bytes_of(codec: str) -> dict[str, int]:
 
 
 @cache
-def _chars_of(codec: str) -> list[str | None]:
-    out: list[str | None] = []
+def _byte_table(codec: str) -> np.ndarray:
+    """The byte of every code point below 2**16, -1 where there is none; a last entry for all others."""
+    out = np.full((1 << 16) + 1, -1, np.int32)
+    for c, b in _bytes_of(codec).items():
+        out[ord(c)] = b
+    return out
+
+
+@cache
+def _char_table(codec: str) -> np.ndarray:
+    """The code point of every byte, -1 where there is none."""
+    out = np.full(256, -1, np.int32)
     for b in range(256):
         try:
-            out.append(bytes([b]).decode(codec))
+            out[b] = ord(bytes([b]).decode(codec))
         except UnicodeDecodeError:
-            out.append(None)
+            pass
     return out
 
 
-def _utf8(codes: list, i: int) -> tuple[int, str] | None:
-    b = codes[i]
-    if b is None:
-        return None
-    if b < 0x80:
-        return 1, chr(b)
-    n = 2 if 0xC2 <= b <= 0xDF else 3 if 0xE0 <= b <= 0xEF else 4 if 0xF0 <= b <= 0xF4 else 0
-    part = codes[i : i + n]
-    if n and len(part) == n and None not in part:
-        try:
-            return n, bytes(part).decode("utf-8")
-        except UnicodeDecodeError:
-            return None
-    return None
+@cache
+def _pair_table(codec: str) -> np.ndarray:
+    """The code point of two bytes, the second from 0x40, that are one character; -1 where they aren't."""
+    out = np.full(1 << 16, -1, np.int32)
+    for b in range(0x80, 256):
+        for c in range(0x40, 256):
+            try:
+                got = bytes([b, c]).decode(codec)
+            except UnicodeDecodeError:
+                continue
+            if len(got) == 1:
+                out[b << 8 | c] = ord(got)
+    return out
+
+
+def _coded(points: np.ndarray, codec: str) -> np.ndarray:
+    """Bytes of code points, -1 for none."""
+    return _byte_table(codec)[np.where((points >= 0) & (points < 1 << 16), points, 1 << 16)]
+
+
+def _decoded(b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(length, code point) of the UTF-8 character at each of four arrays of successive bytes, -1 being none; length 0 where there is none."""
+    b0, b1, b2, b3 = b
+    tail = lambda x: (x >= 0x80) & (x <= 0xBF)
+    two = (b0 >= 0xC2) & (b0 <= 0xDF) & tail(b1)
+    three = (b0 >= 0xE0) & (b0 <= 0xEF) & tail(b1) & tail(b2) & ((b0 != 0xE0) | (b1 >= 0xA0)) & ((b0 != 0xED) | (b1 <= 0x9F))
+    four = (b0 >= 0xF0) & (b0 <= 0xF4) & tail(b1) & tail(b2) & tail(b3) & ((b0 != 0xF0) | (b1 >= 0x90)) & ((b0 != 0xF4) | (b1 <= 0x8F))
+    size = np.select([(b0 >= 0) & (b0 < 0x80), two, three, four], [1, 2, 3, 4], 0).astype(np.int8)
+    low = lambda x: x & 0x3F
+    char = np.select([size == 1, size == 2, size == 3, size == 4], [b0, (b0 & 0x1F) << 6 | low(b1), (b0 & 0x0F) << 12 | low(b1) << 6 | low(b2), (b0 & 0x07) << 18 | low(b1) << 12 | low(b2) << 6 | low(b3)], -1)
+    return size, char.astype(np.int32)
+
+
+def inverse(points: np.ndarray, source: str, target: str) -> tuple[np.ndarray, np.ndarray]:
+    """(length, code point) that the inverse transform of a pair reads at each place of texts, a row each, padded with -1; length 0 where it reads nothing."""
+    n, width = points.shape
+    codes = np.full((n, width + 3), -1, np.int32)
+    codes[:, :width] = _coded(points, target)
+    if source.startswith("utf-8"):
+        size, char = _decoded([codes[:, k : k + width] for k in range(4)])
+        if source == "utf-8":
+            return size, char
+        inner = np.full((n, width + 1), -1, np.int32)  # the byte that each character read once stands for
+        inner[:, :width] = np.where(size > 0, _coded(char, target), -1)
+        step = np.zeros((n, width + 1), np.int32)
+        step[:, :width] = size
+        at = np.broadcast_to(np.arange(width), (n, width))
+        row = np.arange(n)[:, None]
+        held, ends = [], []
+        for _ in range(4):
+            held.append(inner[row, at])
+            at = at + step[row, at]
+            ends.append(at)
+        twice, char = _decoded(held)
+        end = np.select([twice == k for k in (1, 2, 3, 4)], ends, 0)
+        return np.where(twice > 0, end - np.arange(width), 0).astype(np.int8), char
+    b = codes[:, :width]
+    if source == "cp932":
+        follow = codes[:, 1 : width + 1]
+        both = (b >= 0x80) & (follow >= 0x40)
+        char = np.where(both, _pair_table("cp932")[np.where(both, b << 8 | follow, 0)], np.where((b >= 0) & (b < 0x80), b, -1))
+        return np.where(char < 0, 0, np.where(both, 2, 1)).astype(np.int8), char
+    char = np.where(b >= 0, _char_table(source)[np.maximum(b, 0)], -1)
+    return (char >= 0).astype(np.int8), char
 
 
 @cache
@@ -84,12 +143,10 @@ def _candidates(lead: int, follow: int | None) -> tuple[str, ...]:
     return tuple(bytes([lead, *t]).decode("utf-8") for t in tails if (lead, t[0]) >= (0xE0, 0xA0) or lead != 0xE0)
 
 
-def _dropped(text: str, codes: list, i: int, likely) -> tuple[int, str] | None:
-    """The character at a first byte of UTF-8 whose control characters were dropped, or whose no-break space became a space."""
-    b = codes[i]
-    if b is None or not (0xC3 <= b <= 0xC5 or 0xD0 <= b <= 0xD1 or 0xE2 <= b <= 0xE3):
-        return None
-    follow = codes[i + 1] if i + 1 < len(codes) else None
+def _dropped(text: str, i: int, codes: list, likely) -> tuple[int, str]:
+    """The character at a first byte of UTF-8 whose control characters were dropped, or whose no-break space became a space; ``codes`` are this byte and what follows."""
+    b = codes[0]
+    follow = codes[1] if len(codes) > 1 else None
     if b == 0xC3 and follow == 0x20:
         return 2, "à"
     if follow is not None and follow > 0x7F and b >= 0xE0 and 0xA0 <= follow <= 0xBF:
@@ -97,143 +154,197 @@ def _dropped(text: str, codes: list, i: int, likely) -> tuple[int, str] | None:
     return 1, likely(_candidates(b, None), text[i - 1 : i], text[i + 1 : i + 2])
 
 
-def emissions(text: str, source: str, target: str, likely=None) -> list[tuple[int, str] | None]:
-    """For each place the (length, character[, True]) that the inverse transform reads there; True marks a guess by ``likely`` of what was dropped."""
-    table = _bytes_of(target)
-    codes = [table.get(c) for c in text]
-    n = len(text)
-    if source == "utf-8":
-        read = [_utf8(codes, i) for i in range(n)]
-        if likely is None or target not in ("cp1252", "latin-1"):
-            return read
-        return [r or ((*d, True) if (d := _dropped(text, codes, i, likely)) else None) for i, r in enumerate(read)]
-    if source == "utf-8*2":
-        once = [_utf8(codes, i) for i in range(n)]
-        out: list[tuple[int, str] | None] = []
-        for i in range(n):
-            part, ends, j = [], [], i
-            while j < n and once[j] and len(part) < 4:
-                part.append(table.get(once[j][1]))
-                j += once[j][0]
-                ends.append(j)
-            got = _utf8(part, 0) if part else None
-            out.append((ends[got[0] - 1] - i, got[1]) if got else None)
-        return out
-    if source == "cp932":
-        out = []
-        for i, b in enumerate(codes):
-            if b is None or b >= 0x80:
-                pair = codes[i : i + 2]
-                if b is not None and len(pair) == 2 and pair[1] is not None and pair[1] >= 0x40:
-                    try:
-                        c = bytes(pair).decode("cp932")
-                    except UnicodeDecodeError:
-                        c = ""
-                    out.append((2, c) if len(c) == 1 else None)
-                else:
-                    out.append(None)
-            else:
-                out.append((1, chr(b)))
-        return out
-    chars = _chars_of(source)
-    return [None if b is None or chars[b] is None else (1, chars[b]) for b in codes]
+def _rows_of(texts: list[str]) -> np.ndarray:
+    """Code points of texts, a row each, padded with -1."""
+    lengths = np.array([len(t) for t in texts])
+    out = np.full((len(texts), int(lengths.max(initial=0))), -1, np.int64)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
 
 
-def _pair_bucket(a: str, b: str) -> int:
-    return ((ord(a) * 0x9E3779B1 ^ ord(b) * 0x85EBCA77) >> 7) & ((1 << PAIR_BITS) - 1)
+def _pair_buckets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a.astype(np.int64) * 0x9E3779B1 ^ b.astype(np.int64) * 0x85EBCA77) >> 7) & ((1 << PAIR_BITS) - 1)
 
 
-def _one_bucket(a: str) -> int:
-    return ord(a) & ((1 << ONE_BITS) - 1)
+#: Code points of texts that are labelled together, and longest character that a pair reads.
+BATCH, REACH = 1 << 17, 16
+#: An ASCII stretch in which no state but the clean one is worth its cost, and what of it is kept at each end.
+_IDLE, _EDGE = re.compile(r"[\x00-\x7f]{600,}"), 250
 
 
 class Labeller:
-    """The model with its counts; ``label`` finds the most likely states of a text."""
+    """The model with its counts; ``labels`` finds the most likely states of texts, many at a time."""
 
     def __init__(self, pairs: np.ndarray, ones: np.ndarray, enter: float) -> None:
         self.pairs, self.ones, self.enter = pairs, ones, enter
-        self.total = float(ones.sum()) + 0.1 * len(ones)
-        self.scores: dict[tuple[str, str], float] = {}
+        total = float(ones.sum()) + 0.1 * len(ones)
+        self.one, self.smooth = (ones + 0.1) / total, ones + 2
+        self.log_one = np.log(self.one)
+        self.entry = np.array([enter + (SINGLE if name in _SINGLE else 0.0) for name, _, _ in PAIRS])
         self.guesses: dict[tuple, str] = {}
 
-    def score(self, a: str, b: str) -> float:
-        s = self.scores.get((a, b))
-        if s is None:
-            one = (self.ones[_one_bucket(b)] + 0.1) / self.total
-            s = (math.log((self.pairs[_pair_bucket(a, b)] + 2 * one) / (self.ones[_one_bucket(a)] + 2)) + math.log(one)) / 2
-            if len(self.scores) < 1_000_000:
-                self.scores[a, b] = s
-        return s
-
-    def seen(self, c: str) -> bool:
-        return self.ones[_one_bucket(c)] > 0
+    def scores(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Log likelihoods of code points b after a."""
+        o = b & ((1 << ONE_BITS) - 1)
+        return (np.log((self.pairs[_pair_buckets(a, b)] + 2 * self.one[o]) / self.smooth[a & ((1 << ONE_BITS) - 1)]) + self.log_one[o]) / 2
 
     def likely(self, candidates: tuple[str, ...], before: str, after: str) -> str:
         """The candidate that fits best between its neighbours, as far as these are ASCII."""
-
         key = (candidates, before if before.isascii() else "", after if after.isascii() else "")
-        if key in self.guesses:
-            return self.guesses[key]
-
-        def fit(c: str) -> float:
-            return (self.score(before, c) if before.isascii() and before else math.log(self.ones[_one_bucket(c)] + 0.1)) + (self.score(c, after) if after.isascii() and after else 0.0)
-
-        self.guesses[key] = max(candidates, key=fit)
+        if key not in self.guesses:
+            points = np.array([ord(c) for c in candidates])
+            fit = self.scores(np.full(len(points), ord(key[1])), points) if key[1] else np.log(self.ones[points & ((1 << ONE_BITS) - 1)] + 0.1)
+            if key[2]:
+                fit = fit + self.scores(points, np.full(len(points), ord(key[2])))
+            self.guesses[key] = candidates[int(fit.argmax())]
         return self.guesses[key]
 
-    def label(self, text: str) -> list[tuple[int, int, str, str]]:
-        """[(start, end, state, restored)] of the garbled spans, in order; LOST stands for what can't be restored."""
-        if text.isascii() or not text:
-            return []
-        n = len(text)
-        every = [(name, emissions(text, s, t, self.likely)) for name, s, t in PAIRS]
-        states = [(name, e) for name, e in every if any(x is not None and (x[0] > 1 or ord(text[i]) > 127) for i, x in enumerate(e))]
-        score = self.score
-        # best[i][k]: (score, last character, place and state before), state 0 being clean
-        best: list[dict[int, tuple]] = [{} for _ in range(n + 1)]
-        best[0][0] = (0.0, _START, -1, -1, "")
-        for i in range(n):
-            here = best[i]
-            if not here:
+    def _emissions(self, texts: list[str], points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(length, code point, cost) by pair, text and place: what is read there, dropped bytes guessed, for pairs that read anything odd in the text."""
+        shape = (len(PAIRS), *points.shape)
+        size, char, guess = np.zeros(shape, np.int8), np.full(shape, -1, np.int32), np.zeros(shape, bool)
+        for k, (_, source, target) in enumerate(PAIRS):
+            size[k], char[k] = inverse(points, source, target)
+            if source == "utf-8" and target in ("cp1252", "latin-1"):
+                codes = _coded(points, target)
+                for r, i in np.argwhere((size[k] == 0) & np.isin(codes, (0xC3, 0xC4, 0xC5, 0xD0, 0xD1, 0xE2, 0xE3))):
+                    around = [None if c < 0 else int(c) for c in codes[r, i : min(i + 2, len(texts[r]))]]
+                    got = _dropped(texts[r], i, around, self.likely)
+                    size[k, r, i], char[k, r, i], guess[k, r, i] = got[0], ord(got[1]), True
+        odd = (size > 1) | ((size > 0) & (points > 127))
+        size[~odd.any(2)] = 0
+        unseen = (char >= 0x80) & (self.ones[char & ((1 << ONE_BITS) - 1)] == 0)
+        return size, char, 0.05 + GUESS * guess + UNSEEN * unseen
+
+    def labels(self, texts: list[str]) -> list[list[tuple[int, int, str, str]]]:
+        """[(start, end, state, restored)] of the garbled spans of each text, in order; LOST stands for what can't be restored."""
+        out: list[list[tuple[int, int, str, str]]] = [[] for _ in texts]
+        parts = []
+        for t, text in enumerate(texts):
+            if text.isascii():
                 continue
-            clean = here.get(0)
-            c = text[i]
-            odd = c == LOST
-            for k, (at, last, *_) in here.items():  # to clean
-                v = at + (score(last, c) if not odd else -60.0) - (1.0 if k else 0.0)
-                if 0 not in best[i + 1] or v > best[i + 1][0][0]:
-                    best[i + 1][0] = (v, c, i, k, c)
-            if odd and clean is not None:  # what is lost is a span of its own
-                v = clean[0] - 8.0
-                if -1 not in best[i + 1] or v > best[i + 1][-1][0]:
-                    best[i + 1][-1] = (v, c, i, 0, c)
-            if odd and -1 in here:
-                v = here[-1][0] - 1.0
-                if -1 not in best[i + 1] or v > best[i + 1][-1][0]:
-                    best[i + 1][-1] = (v, c, i, -1, c)
-            for k, (_, read) in enumerate(states, 1):
-                got = read[i]
-                if got is None:
-                    continue
-                size, d = got[:2]
-                cost = 0.05 + (GUESS if len(got) > 2 else 0.0) + (0.0 if d < "\x80" or self.seen(d) else UNSEEN)
-                for before, enter in ((clean, self.enter + (SINGLE if states[k - 1][0] in _SINGLE else 0.0)), (here.get(k), 0.0)):
-                    if before is None:
-                        continue
-                    v = before[0] + score(before[1], d) - cost - enter
-                    if k not in best[i + size] or v > best[i + size][k][0]:
-                        best[i + size][k] = (v, d, i, 0 if before is clean else k, d)
-        k = max(best[n], key=lambda s: best[n][s][0])
-        steps, i = [], n
+            at = 0
+            for idle in [*_IDLE.finditer(text), None]:  # the model is clean throughout a long ASCII stretch
+                end = len(text) if idle is None else idle.start() + _EDGE
+                if not text[at:end].isascii():
+                    parts.append((t, at, text[at:end]))
+                at = len(text) if idle is None else idle.end() - _EDGE
+        parts.sort(key=lambda p: len(p[2]), reverse=True)
+        i = 0
+        while i < len(parts):
+            n = max(1, BATCH // len(parts[i][2]))
+            for (t, at, _), spans in zip(parts[i : i + n], self._viterbi([p[2] for p in parts[i : i + n]])):
+                out[t] += [(a + at, b + at, state, new) for a, b, state, new in spans]
+            i += n
+        return [sorted(x) for x in out]
+
+    def label(self, text: str) -> list[tuple[int, int, str, str]]:
+        return self.labels([text])[0]
+
+    def _viterbi(self, texts: list[str]) -> list[list[tuple[int, int, str, str]]]:
+        """Garbled spans of texts in order of falling length: all move on together, character by character.
+
+        State 0 is clean, 1 lost, then come the pairs. Only what is reached is computed: clean states in full, others by lists of (state, text).
+        A pair is entered only where it reads something odd: before that it reads what the clean state reads, for a cost.
+        """
+        points = _rows_of(texts)
+        n, width = points.shape
+        lengths = np.array([len(t) for t in texts])
+        size, char, cost = self._emissions(texts, points)
+        ks, rs, at = np.nonzero((size > 1) | ((size > 0) & (points > 127)))
+        order = np.argsort(at, kind="stable")
+        ks, rs, at = ks[order], rs[order], at[order]
+        bounds = np.searchsorted(at, np.arange(width + 1))
+        states = len(PAIRS) + 2
+        best = np.full((REACH, states, n), -np.inf)
+        last = np.zeros((REACH, states, n), np.int64)
+        odd_path = np.zeros((REACH, states, n), bool)
+        back = np.zeros((width + 1, states, n), np.int8)  # how far back, and the state there
+        from_ = np.zeros((width + 1, states, n), np.int8)
+        best[0, 0], last[0, 0] = 0.0, ord(_START)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ends = np.zeros(n, np.int64)
+        dirty = np.zeros(n, bool)
+        active = np.searchsorted(-lengths, -np.arange(width + 1), side="left")  # texts longer than i come first
+
+        def put(i: int, k: np.ndarray, r: np.ndarray, z: np.ndarray, v: np.ndarray, d: np.ndarray, q) -> None:
+            slot = (i + z) % REACH
+            old = best[slot, k, r]
+            won = v > old
+            if not won.any():
+                return
+            fresh = won & np.isneginf(old)
+            for step in np.unique(z[fresh]):
+                of = fresh & (z == step)
+                waiting.setdefault(i + int(step), []).append(k[of] * n + r[of])
+            q = np.broadcast_to(q, won.shape)
+            k, r, z, slot = k[won], r[won], z[won], slot[won]
+            best[slot, k, r], last[slot, k, r], odd_path[slot, k, r] = v[won], d[won], True
+            back[i + z, k, r], from_[i + z, k, r] = z, q[won]
+
+        for i in range(width + 1):
+            slot, m = i % REACH, int(active[i])
+            over = np.flatnonzero(lengths == i)
+            if len(over):
+                ends[over] = best[slot][:, over].argmax(0)
+                dirty[over] = odd_path[slot, ends[over], over]
+            if i == width:
+                break
+            c = points[:m, i]
+            lost = c == ord(LOST)
+            v = best[slot, 0, :m] + np.where(lost, -60.0, self.scores(last[slot, 0, :m], c))
+            prev = np.zeros(m, np.int8)
+            path = odd_path[slot, 0, :m].copy()
+            here = np.concatenate(waiting.pop(i)) if i in waiting else None
+            if here is not None:
+                k, r = np.divmod(here, n)
+                live = r < m
+                k, r = k[live], r[live]
+                w = best[slot, k, r] + np.where(lost[r], -60.0, self.scores(last[slot, k, r], c[r])) - 1.0
+                rank = np.lexsort((-k, w))
+                top = np.full(m, -np.inf)
+                top[r[rank]] = w[rank]  # the greatest is put last, of equals that of the first pair
+                of = np.zeros(m, np.int8)
+                of[r[rank]] = k[rank]
+                won = top > v
+                v[won], prev[won], path[won] = top[won], of[won], True
+            nxt = (i + 1) % REACH
+            best[nxt, 0, :m], last[nxt, 0, :m], odd_path[nxt, 0, :m] = v, c, path
+            back[i + 1, 0, :m], from_[i + 1, 0, :m] = 1, prev
+            if lost.any():
+                r = np.flatnonzero(lost)
+                one = np.ones(len(r), np.int64)
+                put(i, one, r, one, best[slot, 0, r] - 8.0, c[r], 0)
+                put(i, one, r, one, best[slot, 1, r] - 1.0, c[r], 1)
+            a, b = bounds[i], bounds[i + 1]
+            if b > a:
+                k, r = ks[a:b], rs[a:b]
+                z, d = size[k, r, i].astype(np.int64), char[k, r, i].astype(np.int64)
+                put(i, k + 2, r, z, best[slot, 0, r] + self.scores(last[slot, 0, r], d) - cost[k, r, i] - self.entry[k], d, 0)
+            if here is not None:
+                k, r = np.divmod(here, n)
+                on = (r < m) & (k > 1)
+                k, r = k[on] - 2, r[on]
+                on = size[k, r, i] > 0
+                k, r = k[on], r[on]
+                if len(k):
+                    z, d = size[k, r, i].astype(np.int64), char[k, r, i].astype(np.int64)
+                    put(i, k + 2, r, z, best[slot, k + 2, r] + self.scores(last[slot, k + 2, r], d) - cost[k, r, i], d, k + 2)
+            best[slot] = -np.inf
+        return [self._spans(t, texts[t], int(ends[t]), back, from_, char) if dirty[t] else [] for t in range(n)]
+
+    def _spans(self, t: int, text: str, k: int, back: np.ndarray, from_: np.ndarray, char: np.ndarray) -> list[tuple[int, int, str, str]]:
+        steps, i = [], len(text)
         while i > 0:
-            _, _, j, before, d = best[i][k]
-            steps.append((j, i, k, d))
+            j, before = i - int(back[i, k, t]), int(from_[i, k, t])
+            if k:
+                steps.append((j, i, k, LOST if k == 1 else chr(char[k - 2, t, j])))
             i, k = j, before
         spans: list[list] = []
         for a, b, k, d in reversed(steps):
-            if k == 0 or (k > 0 and text[a:b] == d):
+            if k > 1 and text[a:b] == d:
                 continue
-            name = "lost" if k == -1 else states[k - 1][0]
+            name = "lost" if k == 1 else PAIRS[k - 2][0]
             if spans and spans[-1][1] == a and spans[-1][2] == name:
                 spans[-1][1], spans[-1][3] = b, spans[-1][3] + d
             else:
@@ -253,14 +364,40 @@ def restore(text: str, spans: list[tuple[int, int, str, str]]) -> str:
 _SUSPECT = re.compile(r"[\u0080-\u009f\ufffd]|(?<=[^\W\d_])[^\w\s\x00-\x7f](?=[^\W\d_])")
 
 
-def _suspect(text: str, model: Labeller | None) -> bool:
+def suspects(texts: list[str], model: Labeller | None) -> list[bool]:
     """Control characters, symbols or capitals within words, and what could be several bytes of one (seen) character: not for first counts."""
-    if text.isascii():
-        return False
-    if _SUSPECT.search(text.replace("’", "")) or any(a.islower() and b.isupper() and ord(b) > 127 for a, b in zip(text, text[1:])):
-        return True
-    several = (x[1] for _, s, t in PAIRS if s == "utf-8" for x in emissions(text, s, t) if x is not None and x[0] > 1)
-    return any(model is None or model.seen(c) for c in several)
+    out = [not t.isascii() and bool(_SUSPECT.search(t.replace("’", "")) or any(a.islower() and b.isupper() and ord(b) > 127 for a, b in zip(t, t[1:]))) for t in texts]
+    open_ = sorted((i for i, t in enumerate(texts) if not out[i] and not t.isascii()), key=lambda i: len(texts[i]), reverse=True)
+    at = 0
+    while at < len(open_):
+        part = open_[at : at + max(1, BATCH // len(texts[open_[at]]))]
+        points = _rows_of([texts[i] for i in part])
+        found = np.zeros(len(part), bool)
+        for _, source, target in PAIRS:
+            if source == "utf-8":
+                size, char = inverse(points, source, target)
+                several = size > 1
+                if model is not None:
+                    several &= model.ones[char & ((1 << ONE_BITS) - 1)] > 0
+                found |= several.any(1)
+        for i, f in zip(part, found):
+            out[i] = bool(f)
+        at += len(part)
+    return out
+
+
+def _counted(texts: list[str], n: list[int], pairs: np.ndarray, ones: np.ndarray) -> None:
+    """Add the weighted pairs and characters of texts; what follows a lost character starts anew."""
+    lost, start = ord(LOST), ord(_START)
+    points = np.frombuffer(_START.join(["", *texts]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    weight = np.repeat(np.array(n, np.int64), [len(t) + 1 for t in texts])
+    points[points == lost] = start
+    begin = points == start
+    keep = np.concatenate([[True], ~(begin[1:] & begin[:-1])]) if len(points) else begin
+    points, weight, begin = points[keep], weight[keep], begin[keep]
+    ones += np.bincount(points & ((1 << ONE_BITS) - 1), weight, 1 << ONE_BITS).astype(np.int64)
+    follow = ~begin[1:]
+    pairs += np.bincount(_pair_buckets(points[:-1], points[1:])[follow], weight[1:][follow], 1 << PAIR_BITS).astype(np.int64)
 
 
 def _count_kernel(model, label: bool):
@@ -270,21 +407,14 @@ def _count_kernel(model, label: bool):
         pairs = np.zeros(1 << PAIR_BITS, np.int64)
         ones = np.zeros(1 << ONE_BITS, np.int64)
         for b in batches:
-            for text, n in zip(*(c.to_pylist() for c in b.columns)):
-                if label:
-                    text = restore(text, model.value.label(text))
-                elif _suspect(text, model and model.value):
-                    continue
-                last = _START
-                ones[_one_bucket(last)] += n
-                for c in text:
-                    if c == LOST:  # what follows starts anew
-                        ones[_one_bucket(_START)] += n * (last != _START)
-                        last = _START
-                        continue
-                    pairs[_pair_bucket(last, c)] += n
-                    ones[_one_bucket(c)] += n
-                    last = c
+            texts, n = (c.to_pylist() for c in b.columns)
+            if label:
+                texts = [restore(t, spans) if spans else t for t, spans in zip(texts, model.value.labels(texts))]
+            else:
+                clean = [not s for s in suspects(texts, model and model.value)]
+                texts, n = ([x for x, ok in zip(xs, clean) if ok] for xs in (texts, n))
+            if texts:
+                _counted(texts, n, pairs, ones)
         counts = np.concatenate([pairs, ones])
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["bucket", "n"])
@@ -293,13 +423,14 @@ def _count_kernel(model, label: bool):
 
 
 def _label_kernel(model):
-    """(text, n) -> (text, spans) of garbled texts."""
+    """(text, ..) -> (text, spans) of garbled texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = model.value
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("state", pa.string()), ("new", pa.string())]))
         for b in batches:
-            out = [(t, [dict(zip(("start", "stop", "state", "new"), s)) for s in spans]) for t in b.column(0).to_pylist() if (spans := labeller.label(t))]
+            texts = b.column(0).to_pylist()
+            out = [(t, [dict(zip(("start", "stop", "state", "new"), s)) for s in spans]) for t, spans in zip(texts, labeller.labels(texts)) if spans]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([s for _, s in out], kind)], names=["plain", "spans"])
 
     return run
@@ -335,8 +466,8 @@ def garbled(cells: DataFrame, rounds: tuple[float, ...] = (5.0, 5.5)) -> DataFra
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # few bytes, much work: not to be coalesced
     texts = checkpoint(cells.where("plain <> ''").groupBy("plain").agg(F.count("*").alias("n")).repartition(parts, "plain"))
     model = fit(texts, rounds)
-    found = texts.where(F.col("plain").rlike("[^\\x00-\\x7F]")).mapInArrow(_label_kernel(model), "plain string, spans array<struct<start:int,stop:int,state:string,new:string>>")
-    rows = cells.where(F.col("plain").rlike("[^\\x00-\\x7F]")).join(found, "plain")
+    found = checkpoint(texts.where(F.col("plain").rlike("[^\\x00-\\x7F]")).mapInArrow(_label_kernel(model), "plain string, spans array<struct<start:int,stop:int,state:string,new:string>>"))
+    rows = join_checked(cells.where(F.col("plain").rlike("[^\\x00-\\x7F]")), found, ["plain"])
     start = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
     put = lambda acc, s: F.struct(F.concat(acc["kept"], F.col("text").substr(acc["at"] + 1, s["start"] - acc["at"]), s["new"]).alias("kept"), s["stop"].alias("at"))
     restored = F.aggregate("spans", start, put, lambda acc: F.concat(acc["kept"], F.col("text").substr(acc["at"] + 1, F.length("text"))))

@@ -1,7 +1,6 @@
 import random
-from types import SimpleNamespace
 
-import pyarrow as pa
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -27,15 +26,45 @@ def test_emissions_invert_every_pair():
                 bad = garble(text, source, target)
             except (UnicodeEncodeError, KeyError):
                 continue
-            got, i = encoding.emissions(bad, source, target), 0
-            out = ""
+            size, char = encoding.inverse(encoding._rows_of([bad, "x" * (len(bad) + 2)]), source, target)
+            out, i = "", 0
             while i < len(bad):
-                assert got[i], (name, text, i)
-                out += got[i][1]
-                i += got[i][0]
+                assert size[0, i], (name, text, i)
+                out += chr(char[0, i])
+                i += size[0, i]
             assert out == text, name
 
 
+def test_utf8_is_read_as_python_reads_it():
+    rng = random.Random(2)
+    raws = [bytes(rng.choice([0x41, 0x80, 0x8F, 0x90, 0x9F, 0xA0, 0xBF, 0xC1, 0xC2, 0xDF, 0xE0, 0xE1, 0xED, 0xEF, 0xF0, 0xF1, 0xF4, 0xF5]) for _ in range(8)) for _ in range(3000)]
+    points = encoding._rows_of([r.decode("latin-1") for r in raws])
+    size, char = encoding.inverse(points, "utf-8", "latin-1")
+    for r, raw in enumerate(raws):
+        for i in range(8):
+            want = (0, -1)
+            for n in range(1, 5):
+                try:
+                    c = raw[i : i + n].decode("utf-8")
+                except UnicodeDecodeError:
+                    continue
+                if len(raw[i : i + n]) == n:
+                    want = (n, ord(c))
+                break
+            assert (size[r, i], char[r, i]) == want
+
+
+def test_labels_do_not_depend_on_what_is_labelled_together():
+    pairs, ones = np.zeros(1 << encoding.PAIR_BITS, np.int64), np.zeros(1 << encoding.ONE_BITS, np.int64)
+    encoding._counted(CLEAN, [50] * len(CLEAN), pairs, ones)
+    model = encoding.Labeller(pairs, ones, 5.5)
+    texts = [*CLEAN, *(garble(t, "utf-8", "latin-1") for t in CLEAN), "a�b", "", "x" * 3000 + garble("ä", "utf-8", "latin-1") + "y" * 3000 + "Å›"]
+    together = model.labels(texts)
+    assert together == [model.label(t) for t in texts] == model.labels(texts[::-1])[::-1]
+    assert together[-3] == [(1, 2, "lost", "�")] and [(a, b, new) for a, b, _, new in together[-1]] == [(3000, 3002, "ä"), (6002, 6004, "ś")]
+    assert all(encoding.restore(garble(t, "utf-8", "latin-1"), s) == t for t, s in zip(CLEAN, together[len(CLEAN) :]) if len(t) > 12)
+
+
 @pytest.fixture(scope="module")
 def cells(spark):
     rng = random.Random(1)
@@ -80,10 +109,9 @@ def test_cells_of_the_tables(spark):
 
 
 def test_counts_go_on_after_a_lost_character():
-    model = SimpleNamespace(value=SimpleNamespace(label=lambda text: []))
-    batch = pa.RecordBatch.from_arrays([pa.array(["a��bc�"]), pa.array([3])], names=["text", "n"])
-    (got,) = encoding._count_kernel(model, True)(iter([batch]))
-    n = dict(zip(*(c.to_pylist() for c in got.columns)))
-    start, ones = encoding._START, 1 << encoding.PAIR_BITS
-    assert {p: n.get(encoding._pair_bucket(*p)) for p in (start + "a", start + "b", "bc", "ab")} == {start + "a": 3, start + "b": 3, "bc": 3, "ab": None}
-    assert [n.get(ones + encoding._one_bucket(c)) for c in "abc"] == [3, 3, 3]
+    pairs, ones = np.zeros(1 << encoding.PAIR_BITS, np.int64), np.zeros(1 << encoding.ONE_BITS, np.int64)
+    encoding._counted(["a��bc�", ""], [3, 2], pairs, ones)
+    n = lambda p: pairs[encoding._pair_buckets(np.array([ord(p[0])]), np.array([ord(p[1])]))[0]]
+    start = encoding._START
+    assert [n(p) for p in (start + "a", start + "b", "bc", "ab")] == [3, 3, 3, 0] and pairs.sum() == 9
+    assert [ones[ord(c)] for c in "abc"] == [3, 3, 3]
