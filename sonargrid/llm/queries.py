@@ -59,7 +59,21 @@ ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: ar
 _SHARED = """d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 250 AND doc_id IS NOT NULL), p AS (SELECT doc_id, text, unnest(range(0, length(text) - 249)) AS i FROM d),
 w AS (SELECT doc_id, i, md5(substr(text, i + 1, 250)) AS h FROM p), s AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1),
 r AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM w JOIN s USING (h)), sp AS (SELECT doc_id, min(i) AS start_char, max(i) + 250 AS end_char FROM r GROUP BY doc_id, k)"""
+_QUIET = """s AS (SELECT rec_id, channel, frame, min(x) AS x, bool_or(x IS NULL) AS gone FROM samples GROUP BY 1, 2, 3), m AS (SELECT rec_id, channel, median(x) AS m FROM s GROUP BY 1, 2),
+n AS (SELECT rec_id, count(DISTINCT channel) AS channels, count(DISTINCT frame) AS frames FROM s GROUP BY 1)"""
+# a cut after e frames is quiet with 25 quiet frames on either side, a lull with one; from each place the next cut is the last quiet one within 950 frames, else the last lull of the latter half
+_PIECES = f"""WITH RECURSIVE {_QUIET}, f AS (SELECT rec_id, frame, count(*) FILTER (abs(x - m) <= 0.02::DOUBLE) = channels AS q FROM s JOIN m USING (rec_id, channel) JOIN n USING (rec_id) GROUP BY rec_id, frame, channels),
+j AS (SELECT *, coalesce(frame - lag(frame) OVER (PARTITION BY rec_id ORDER BY frame) > 1001, true)::INT AS new FROM f), k AS (SELECT *, sum(new) OVER (PARTITION BY rec_id ORDER BY frame) AS part FROM j),
+ext AS (SELECT rec_id, part, min(frame) AS lo, max(frame) + 1 - min(frame) AS n FROM k GROUP BY 1, 2), g AS (SELECT rec_id, part, lo, n, unnest(range(0, n + 1)) AS e FROM ext),
+c AS (SELECT g.*, coalesce(q, false)::INT AS q FROM g LEFT JOIN k ON k.rec_id = g.rec_id AND k.part = g.part AND k.frame = g.lo + g.e),
+b AS (SELECT *, sum(q) OVER (PARTITION BY rec_id, part ORDER BY e ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING) = 50 AS quiet, q = 1 AND lag(q) OVER (PARTITION BY rec_id, part ORDER BY e) = 1 AS lull FROM c),
+l AS (SELECT *, max(CASE WHEN quiet THEN e END) OVER w AS last_quiet, max(CASE WHEN lull THEN e END) OVER w AS last_lull FROM b WINDOW w AS (PARTITION BY rec_id, part ORDER BY e)),
+nx AS (SELECT a.rec_id, a.part, a.e, CASE WHEN a.n - a.e <= 950 OR (a.e = 0 AND a.n <= 1000) THEN a.n WHEN z.last_quiet >= a.e + 75 THEN z.last_quiet WHEN z.last_lull >= a.e + 476 THEN z.last_lull ELSE a.e + 950 END AS nxt
+  FROM l a LEFT JOIN l z ON z.rec_id = a.rec_id AND z.part = a.part AND z.e = a.e + 950 WHERE a.e < a.n),
+p AS (SELECT rec_id, part, e, nxt FROM nx WHERE e = 0 UNION ALL SELECT x.rec_id, x.part, x.e, x.nxt FROM p JOIN nx x ON x.rec_id = p.rec_id AND x.part = p.part AND x.e = p.nxt)
+SELECT p.rec_id, lo + p.e - CASE WHEN p.e > 0 THEN 50 ELSE 0 END AS start_frame, lo + nxt AS end_frame, CASE WHEN nxt = n THEN 'end' WHEN quiet THEN 'quiet' WHEN lull THEN 'lull' ELSE 'limit' END AS boundary FROM p JOIN l ON l.rec_id = p.rec_id AND l.part = p.part AND l.e = p.nxt"""
 ORACLES: dict[str, str] = {
+    "p2_pieces": _PIECES,
     "p2_found": """WITH s AS (SELECT rec_id, channel, frame, min(x) AS x, bool_or(x IS NULL) AS gone FROM samples GROUP BY 1, 2, 3), m AS (SELECT rec_id, channel, median(x) AS m FROM s GROUP BY 1, 2),
 n AS (SELECT rec_id, count(DISTINCT channel) AS channels, count(DISTINCT frame) AS frames FROM s GROUP BY 1),
 f AS (SELECT rec_id, frame FROM s JOIN m USING (rec_id, channel) JOIN n USING (rec_id) WHERE frames > 1000 GROUP BY rec_id, frame, channels HAVING count(*) FILTER (abs(x - m) <= 0.02::DOUBLE) = channels),

@@ -56,6 +56,55 @@ def test_many_blocks(spark):
     check_pieces(rows(segments.pieces(df)), {1: n})
 
 
+def cut(x, limit=1000, overlap=50, least=50, most=0.02):
+    """Pieces of one recording (channels, n) by a loop over its frames."""
+    q = (np.abs(x - np.nanmedian(x, axis=1)[:, None]) <= most).all(0)
+    n, reach, half, out, at = x.shape[1], limit - overlap, least // 2, [], 0
+    if n <= limit:
+        return [(0, n, "end")]
+    while at < n:
+        end, why = n, "end"
+        if n - at > reach:
+            quiet = [e for e in range(at + reach, at + overlap + half - 1, -1) if q[e - half : e + half].all()][:1]
+            lull = [e for e in range(at + reach, at + reach // 2, -1) if q[e - 1 : e + 1].all()][:1]
+            end, why = (quiet[0], "quiet") if quiet else (lull[0], "lull") if lull else (at + reach, "limit")
+        out.append((at - (overlap if at else 0), end, why))
+        at = end
+    return out
+
+
+def spread(spark, x, at):
+    """A recording of channels with its frames at ``at``."""
+    import pandas as pd
+
+    pdf = pd.concat([pd.DataFrame({"rec_id": 1, "channel": c, "frame": at, "x": x[c]}) for c in range(len(x))]).sample(frac=1, random_state=1)
+    return spark.createDataFrame(pdf).selectExpr("CAST(rec_id AS BIGINT) rec_id", "CAST(channel AS INT) channel", "CAST(frame AS BIGINT) frame", "nullif(x, double('NaN')) AS x")
+
+
+@pytest.mark.parametrize("shift", [0, 65_530, 64_000, -30_123])
+def test_pieces_move_with_the_recording(spark, shift):
+    rng = np.random.default_rng(4)
+    n = 140_000
+    x = recording(rng, n, 1, 20)
+    x[:, 20_000:90_000] = rng.normal(0, 0.3, 70_000) + 0.5  # hardly any quiet frame: cuts keep the distance they had
+    assert [(a - shift, b - shift, why) for _, a, b, why in sorted(rows(segments.pieces(spread(spark, x, np.arange(n) + shift))), key=lambda r: r[1])] == cut(x)
+
+
+def test_holes_and_long_stretches(spark):
+    rng = np.random.default_rng(6)
+    x = recording(rng, 70_000, 1, 0)
+    x[:, 60_000:66_000] = np.median(x)  # one stretch of several tokens, across a seam
+    df = spread(spark, x, np.arange(70_000))
+    assert (60_000, 66_000) not in stretches(x) or (1, 60_000, 66_000) in rows(segments.quiet_stretches(df))
+    assert rows(segments.quiet_stretches(df)) == sorted([(1, *s) for s in stretches(x)], key=repr)
+    at = np.concatenate([np.arange(30_000), np.arange(31_500, 65_000), np.arange(65_900, 72_400)])  # a hole that ends a recording, and one across a seam that doesn't
+    got = sorted(rows(segments.pieces(spread(spark, x, at))), key=lambda r: r[1])
+    ends = [r for r in got if r[3] == "end"]
+    assert [r[2] for r in ends] == [30_000, 72_400] and got[0][1] == 0 and [r[1] for r in got if r[1] > 30_000][0] == 31_500
+    parts = [[r for r in got if r[2] <= 30_000], [r for r in got if r[1] >= 31_500]]
+    assert all(q[1] == p[2] - 50 and 0 < q[2] - q[1] <= 1000 for ps in parts for p, q in zip(ps, ps[1:]))
+
+
 def check_pieces(got, lengths):
     by = {}
     for r, a, b, why in got:
