@@ -1,4 +1,4 @@
-"""Generalised suffix automaton over sequences of hashable symbols, with owners of every state."""
+"""Generalised suffix automaton over sequences of hashable symbols, with the least and greatest owner of every state."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ class SuffixAutomaton:
     has an owner besides a given one.
     """
 
-    __slots__ = ("next", "link", "len", "low", "high", "_last", "owners")
+    __slots__ = ("next", "link", "len", "low", "high")
 
     def __init__(self) -> None:
         self.next: list[dict] = [{}]
@@ -21,8 +21,6 @@ class SuffixAutomaton:
         self.len = [0]
         self.low: list = [None]
         self.high: list = [None]
-        self.owners: list[set | None] = [None]
-        self._last = 0
 
     def add(self, symbols: Iterable, low, high=None) -> None:
         """Add a sequence that occurs with owners from ``low`` to ``high``."""
@@ -122,16 +120,3 @@ class SuffixAutomaton:
                 else:
                     runs.append([a, b])
         return [tuple(r) for r in runs]
-
-    def owned(self, sequences: Sequence[tuple[object, Sequence]]) -> SuffixAutomaton:
-        """Keep for every state the set of all owners; for small sets of sequences only."""
-        self.owners = [set() for _ in self.next]
-        for owner, symbols in sequences:
-            v = 0
-            for c in symbols:
-                v = self.next[v][c]
-                p = v
-                while p > 0 and owner not in self.owners[p]:
-                    self.owners[p].add(owner)
-                    p = self.link[p]
-        return self

@@ -3,8 +3,8 @@
 The largest mixture that keeps all shares gives every document of a source the same expected number of uses. Its whole
 part is certain; the fraction is an inclusion probability. The flight phase moves the probabilities of three documents of a source at a
 time along the null space of the two balancing totals, tokens and documents, until one is 0 or 1. It runs in every partition on its
-own and leaves at most three documents per partition and source; a second flight takes these together, and only the
-last few documents of a source are landed at random.
+own and leaves at most two documents per partition and source; what is left flies again in fewer partitions until there is one, and only the
+last two documents of a source are landed at random.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonargrid.session import checkpoint
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the public vocabulary's texts are split before its merges apply.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Documents of one flight.
+#: Documents of one flight, that is of one partition.
 FLIGHT = 20_000
 _EPS = 1e-9
 
@@ -98,8 +100,8 @@ class Flight:
         self.pool = []
 
 
-def _flight_kernel(seed: int):
-    """(doc_id, source, n_tokens, p) in order of doc_id -> the same with p of 0 or 1, or between for what is left."""
+def _flight_kernel(seed: int, land: bool = False):
+    """(doc_id, source, n_tokens, p) in order of doc_id -> the same with p of 0 or 1, or between for what is left; nothing is left if it is to ``land``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flights: dict[str, Flight] = {}
@@ -123,32 +125,20 @@ def _flight_kernel(seed: int):
             if rows:
                 yield pack(rows)
         for f in flights.values():
-            f._settled()
+            f.land() if land else f._settled()
         rows = [(d, s, sizes.pop(d), float(x)) for s, f in flights.items() for d, x in f.out]
         yield pack(rows + [(u[0], s, u[1], u[2]) for s, f in flights.items() for u in f.pool])
 
     return run
 
 
-def _landing(seed: int):
-    def run(key, pdf):
-        f = Flight(hash((seed, len(pdf))))
-        for u in pdf.sort_values("doc_id").itertuples():
-            f.add(u.doc_id, u.n_tokens, u.p)
-        f.land()
-        chosen = dict(f.out)
-        return pdf.assign(p=[float(chosen[d]) for d in pdf.doc_id])
-
-    return run
-
-
 def sizes_by_source(counts: DataFrame) -> DataFrame:
     """(doc_id, source, n_tokens): one row per document with tokens and a source; of several rows of a document the least counts."""
     one = counts.where("n_tokens > 0 AND source IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("d"))
     return one.select("doc_id", "d.source", "d.n_tokens")
 
 
-def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, seed: int = 7) -> DataFrame:
+def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, seed: int = 7, flight: int = FLIGHT) -> DataFrame:
     """(doc_id, source, n_tokens, uses): how often each document is used, at most the source's ``max_repeats``; 0 is left out.
 
     ``targets`` (source, target_share, max_repeats) is a short list of sources, the shares of which sum to 1. The size of the mixture
@@ -157,7 +147,7 @@ def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULA
     result on any cluster, and again after a lost executor.
     """
     goals = targets.where("target_share > 0 AND max_repeats > 0").groupBy(F.lower(F.trim("source")).alias("source")).agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats"))
-    sizes = sizes_by_source(token_counts(documents, vocabulary))
+    sizes = checkpoint(sizes_by_source(token_counts(documents, vocabulary)))  # a few numbers a document; texts are read and tokenised once
     totals = goals.join(sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "source", "left").collect()  # one row a target
     schema = "doc_id bigint, source string, n_tokens bigint, p double"
     spark = documents.sparkSession
@@ -170,11 +160,21 @@ def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULA
         sure = int(uses + _EPS)
         plan.append((t.source, sure, max(0.0, uses - sure) if uses - sure > _EPS else 0.0))
     rows = sizes.join(F.broadcast(spark.createDataFrame(plan, "source string, sure int, p double")), "source")
-    parts = max(1, sum(t.docs for t in totals) // FLIGHT)
-    open_ = rows.where("p > 0").select("doc_id", "source", "n_tokens", "p").repartition(parts, "doc_id").sortWithinPartitions("doc_id")
-    flown = open_.mapInArrow(_flight_kernel(seed), schema)
-    landed = flown.where("p > 0 AND p < 1").groupBy("source").applyInPandas(_landing(seed), schema)
-    chosen = flown.where("p = 1").unionByName(landed.where("p = 1")).select("doc_id", F.lit(1).alias("extra"))
+    share = max(flight, 16 * len(plan))  # so that every round leaves a small part of what it took
+    open_, left = rows.where("p > 0").select("doc_id", "source", "n_tokens", "p"), sum(t.docs for t, (_, _, p) in zip(totals, plan) if p)
+    taken = []
+    while True:
+        parts = max(1, left // share)
+        flown = checkpoint(open_.repartition(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_flight_kernel(seed, parts == 1), schema))
+        taken.append(flown.where("p = 1").select("doc_id"))
+        if parts == 1:
+            break
+        open_ = flown.where("p > 0 AND p < 1")
+        left = open_.count()
+    chosen = taken[0]
+    for t in taken[1:]:
+        chosen = chosen.unionByName(t)
+    chosen = chosen.withColumn("extra", F.lit(1))
     return rows.join(chosen, "doc_id", "left").select("doc_id", "source", "n_tokens", (F.col("sure") + F.coalesce("extra", F.lit(0))).alias("uses")).where("uses > 0")
 
 

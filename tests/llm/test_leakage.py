@@ -33,6 +33,23 @@ def test_found_in_any_dress_and_shards(spark, size):
     assert rows(leakage.leaks(d.limit(0), b)) == [] and rows(leakage.leaks(d, b.limit(0))) == []
 
 
+@pytest.mark.parametrize("passes", [50, 1])
+def test_long_items_in_parts_and_several_passes(spark, monkeypatch, passes):
+    import random
+
+    monkeypatch.setattr(leakage, "SHARDS", passes)
+    rng = random.Random(3)
+    vocabulary = ["oak", "elm", "ash", "fir", "yew", "bay"]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate([400, 90, 30, 12, 11])] + [(9, "the same words come again and again " * 40)]
+    docs = [(i, " ".join(w[a : a + rng.randrange(5, 80)]) + " so " + " ".join(rng.choice(vocabulary) for _ in range(20))) for i in range(60) for w in [rng.choice(items)[1].split()] for a in [rng.randrange(len(w))]]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert sorted(rows(leakage.leaks(d, b, shard_words=100))) == brute(docs, items, 12)
+    whole, parts = rows(leakage.leaked_spans(d, b)), rows(leakage.leaked_spans(d, b, shard_words=100))
+    starts = lambda spans: {(doc, item, s) for doc, item, a, e in spans for s in range(a, e - 11)}
+    assert starts(parts) == starts(whole) and (passes == 1 or parts == whole)
+    assert rows(leakage.removed(d, b, shard_words=100)) == rows(leakage.removed(d, b))
+
+
 def test_removal(spark):
     d = spark.createDataFrame([(1, "Before. " + ITEM + " " + "After it all goes on and on. " * 20), (2, ITEM), (3, "clean")], "doc_id bigint, text string")
     b = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")

@@ -74,3 +74,12 @@ def test_nothing_to_mix(spark):
     equal = spark.createDataFrame([(i, "ab"[i % 2], "same text", 1) for i in range(100)], "doc_id bigint, source string, text string, n_tokens int")
     half = spark.createDataFrame([("a", 0.8, 1), ("b", 0.2, 1)], "source string, target_share double, max_repeats int")
     assert {r.source: r.docs for r in mixing.shares(mixing.mixture(equal, half), half).collect()} in ({"a": 50, "b": 12}, {"a": 50, "b": 13})
+
+
+def test_many_flights_in_a_tree(spark):
+    d, t = docs(spark, 3000), spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
+    mixed = mixing.mixture(d, t, flight=50).cache()
+    got = {r.source: r for r in mixing.shares(mixed, t).collect()}
+    for s, share, repeats in TARGETS:
+        assert abs(got[s].share - share) < 0.005 and got[s].most_uses <= repeats
+    assert rows(mixed) == rows(mixing.mixture(d.repartition(5), t, flight=50))
