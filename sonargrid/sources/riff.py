@@ -49,16 +49,32 @@ class Riff:
     markers: list[tuple[int, int, str | None, str | None]] = field(default_factory=list)
 
 
-def chunk_table(raw: bytes) -> list[tuple[str, int, int]]:
+class FileBytes:
+    """Slices of an open file as bytes, read when they are asked for; what ``parse`` doesn't look at, such as samples, is never read."""
+
+    def __init__(self, file, size: int) -> None:
+        self.file, self.size = file, size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> bytes:
+        start, stop, _ = part.indices(self.size)
+        self.file.seek(start)
+        return self.file.read(max(0, stop - start))
+
+
+def chunk_table(raw: bytes | FileBytes) -> list[tuple[str, int, int]]:
     """(tag, payload position, payload size rounded up to even) in order; LIST chunks carry their type. ValueError if it is no RIFF file."""
     if len(raw) < 12 or raw[:4] != b"RIFF":
         raise ValueError("not a RIFF file")
     found, at = [], 12
     while at + 8 <= len(raw):
-        tag, size = raw[at : at + 4].decode("latin-1").upper(), struct.unpack_from("<I", raw, at + 4)[0]
+        head = raw[at : at + 12]
+        tag, size = head[:4].decode("latin-1").upper(), struct.unpack_from("<I", head, 4)[0]
         size += size % 2
         if tag == "LIST":
-            tag = f"LIST-{raw[at + 8 : at + 12].decode('latin-1').upper()}"
+            tag = f"LIST-{head[8:12].decode('latin-1').upper()}"
         found.append((tag, at + 8, size))
         at += 8 + size
     return found
@@ -69,6 +85,32 @@ def _text(b: bytes) -> str:
     return b.decode(codec, "replace").rstrip(" \x00\x02")
 
 
+def _encoded(text: str) -> bytes | None:
+    """A text in Latin-1 or else Windows-1252, so that ``_text`` reads it; None if neither has its characters."""
+    for codec in ("latin-1", "cp1252"):
+        try:
+            b = text.encode(codec)
+        except UnicodeEncodeError:
+            continue
+        if _text(b) == text.rstrip(" \x00\x02"):
+            return b
+    return None
+
+
+def _label_text(b: bytes) -> str:
+    """Text of a label: UTF-8 where the bytes are, else as other texts."""
+    try:
+        return b.decode("utf-8").rstrip(" \x00\x02")
+    except UnicodeDecodeError:
+        return _text(b)
+
+
+def _label_bytes(text: str) -> bytes:
+    """A label in Latin-1 or Windows-1252 if it can be told from UTF-8, else in UTF-8: ``_label_text`` reads what was written."""
+    b = _encoded(text)
+    return b if b is not None and _label_text(b) == text.rstrip(" \x00\x02") else text.encode("utf-8", "surrogatepass")
+
+
 def _info(b: bytes, keep_empty: bool) -> dict:
     out, at = {}, 4
     while at + 8 <= len(b):
@@ -119,37 +161,40 @@ def _guano(b: bytes) -> dict:
     return out
 
 
-def _markers(raw: bytes, chunks: list[tuple[str, int, int]], rate: float) -> list[tuple[int, int, str | None, str | None]]:
+def _markers(raw: bytes | FileBytes, chunks: list[tuple[str, int, int]], rate: float) -> list[tuple[int, int, str | None, str | None]]:
     points: dict[int, list] = {}
     for tag, pos, size in chunks:
         if tag == "CUE " and size >= 4:
-            for i in range(min(struct.unpack_from("<I", raw, pos)[0], (size - 4) // 24)):
-                ident, at, kind = struct.unpack_from("<II4s", raw, pos + 4 + 24 * i)
+            body = raw[pos : pos + size]
+            for i in range(min(struct.unpack_from("<I", body)[0], (len(body) - 4) // 24)):
+                ident, at, kind = struct.unpack_from("<II4s", body, 4 + 24 * i)
                 if kind.upper() == b"DATA":
                     points.setdefault(ident, [at, 0, None, None])
     for tag, pos, size in chunks:
         if tag == "PLST" and size >= 4:
-            for i in range(min(struct.unpack_from("<I", raw, pos)[0], (size - 4) // 12)):
-                ident, length, _ = struct.unpack_from("<III", raw, pos + 4 + 12 * i)
+            body = raw[pos : pos + size]
+            for i in range(min(struct.unpack_from("<I", body)[0], (len(body) - 4) // 12)):
+                ident, length, _ = struct.unpack_from("<III", body, 4 + 12 * i)
                 if ident in points:
                     points[ident][1] = length
         if tag == "LIST-ADTL":
-            at, end = pos + 4, pos + size
-            while at + 12 <= end:
-                key, n, ident = struct.unpack_from("<4sII", raw, at)
-                body = raw[at + 12 : at + 8 + n]
+            part, at = raw[pos : pos + size], 4
+            while at + 12 <= len(part):
+                key, n, ident = struct.unpack_from("<4sII", part, at)
+                body = part[at + 12 : at + 8 + n]
                 m = points.get(ident)
                 if m and key.upper() in (b"LABL", b"NOTE"):
-                    m[2] = "|".join(filter(None, (m[2], body.decode("latin-1").rstrip(" \x00"))))
-                elif m and key.upper() == b"LTXT":
+                    m[2] = "|".join(filter(None, (m[2], _label_text(body))))
+                elif m and key.upper() == b"LTXT" and len(body) >= 4:
                     m[1] = struct.unpack_from("<I", body)[0]
-                    m[3] = "|".join(filter(None, (m[3], body[16:].decode("latin-1").rstrip(" \x00"))))
+                    m[3] = "|".join(filter(None, (m[3], _label_text(body[16:]))))
                 at += 8 + n + n % 2
     out = [tuple(m) for m in points.values()]
     for tag, pos, size in chunks:
         if tag == "LBL ":
+            body = raw[pos : pos + size]
             for i in range(size // 65):
-                fields = raw[pos + 65 * i : pos + 65 * (i + 1)].decode("latin-1").split("\t")
+                fields = _label_text(body[65 * i : 65 * (i + 1)]).split("\t")
                 if len(fields) >= 4:
                     start, stop = (int(np.rint(float(f.strip("\x00")) * rate)) for f in fields[:2])
                     label = fields[3].strip(" \r\n\x00")
@@ -157,22 +202,32 @@ def _markers(raw: bytes, chunks: list[tuple[str, int, int]], rate: float) -> lis
     return sorted(out, key=lambda m: (m[0], m[1]))
 
 
-def parse(raw: bytes, keep_empty: bool = False) -> Riff:
-    """Everything but the samples; ValueError if it is no RIFF file. Of a tag that comes twice the last chunk counts."""
+def layout(raw: bytes | FileBytes) -> Riff:
+    """Chunks, format and place of the samples; ValueError if it is no RIFF file."""
     r = Riff(chunks=chunk_table(raw))
     last = {tag: (pos, size) for tag, pos, size in r.chunks}
     if "FMT " in last:
         pos, size = last["FMT "]
-        kind, r.channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", raw, pos)
+        body = raw[pos : pos + size]
+        kind, r.channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", body)
         if kind == 0xFFFE and size >= 26:
-            kind = struct.unpack_from("<H", raw, pos + 24)[0]
+            kind = struct.unpack_from("<H", body, 24)[0]
         r.rate = float(rate)
         r.encoding = next((e for e, v in ENCODINGS.items() if v == (kind, bits)), "")
         if "DATA" in last:
             r.data_pos = last["DATA"][0]
-            size = min(struct.unpack_from("<I", raw, r.data_pos - 4)[0], len(raw) - r.data_pos)
+            size = min(struct.unpack_from("<I", raw[r.data_pos - 4 : r.data_pos])[0], len(raw) - r.data_pos)
             r.frames = size // max(1, r.channels * (bits // 8))
+    return r
+
+
+def parse(raw: bytes | FileBytes, keep_empty: bool = False) -> Riff:
+    """Everything but the samples; ValueError if it is no RIFF file. Of a tag that comes twice the last chunk counts."""
+    r = layout(raw)
+    last = {tag: (pos, size) for tag, pos, size in r.chunks}
     for tag, (pos, size) in last.items():
+        if tag not in ("LIST-INFO", "BEXT", "IXML", "GUAN"):
+            continue
         body = raw[pos : pos + size]
         if tag == "LIST-INFO":
             part: dict = {"INFO": _info(body, keep_empty)}
@@ -180,10 +235,8 @@ def parse(raw: bytes, keep_empty: bool = False) -> Riff:
             part = {"BEXT": _bext(body, keep_empty)}
         elif tag == "IXML":
             part = {"IXML": _ixml(body, keep_empty)}
-        elif tag == "GUAN":
-            part = _guano(body)
         else:
-            continue
+            part = _guano(body)
         r.metadata |= {k: v for k, v in part.items() if v or keep_empty}
     r.markers = _markers(raw, r.chunks, r.rate)
     return r
@@ -239,15 +292,21 @@ def _info_chunk(md: dict) -> bytes | None:
     tags = {name: tag for tag, name in reversed(INFO_TAGS.items())}
     if any(isinstance(v, dict) or (k not in tags and len(k) > 4) for k, v in md.items()):
         return None
-    body = b"".join(_chunk(tags.get(k, k).ljust(4).encode("latin-1"), str(v).encode("latin-1", "replace") + b"\0") for k, v in md.items())
-    return _chunk(b"LIST", b"INFO" + body) if md else b""
+    texts = [_encoded(str(v)) for v in md.values()]
+    keys = [_encoded(tags.get(k, k).ljust(4)) for k in md]
+    if None in texts or None in keys:
+        return None  # the GUANO chunk can hold any character
+    return _chunk(b"LIST", b"INFO" + b"".join(_chunk(k, t + b"\0") for k, t in zip(keys, texts))) if md else b""
 
 
 def _bext_chunk(md: dict) -> bytes | None:
     if not set(md) <= {n for n, _ in BEXT} | {"CodingHistory"}:
         return None
-    values = [str(md.get(n, "")).encode("latin-1", "replace")[: int(f[:-1])] if f.endswith("s") else int(md.get(n) or 0) for n, f in BEXT]
-    return _chunk(b"BEXT", _BEXT.pack(*values) + str(md.get("CodingHistory", "")).encode("latin-1", "replace"))
+    try:
+        values = [str(md.get(n, "")).encode("latin-1")[: int(f[:-1])] if f.endswith("s") else int(md.get(n) or 0) for n, f in BEXT]
+        return _chunk(b"BEXT", _BEXT.pack(*values) + str(md.get("CodingHistory", "")).encode("latin-1"))
+    except UnicodeEncodeError:
+        return None
 
 
 def _ixml_chunk(md: dict) -> bytes | None:
@@ -301,8 +360,16 @@ def marker_chunks(markers: list[tuple], rate: float, hint: str = "cue") -> bytes
     if not markers:
         return b""
     if hint == "lbl":
-        line = lambda m: f"{m[0] / rate:.7g}\t{(m[0] + (m[1] or 0)) / rate:.7g}\t{m[3] or ''}\t{m[2] or ''}"[:63].ljust(63) + "\r\n"
-        return _chunk(b"LBL ", (" " * 63 + "\r\n" + "".join(map(line, markers))).encode("latin-1", "replace"))
+
+        def line(m: tuple) -> bytes:
+            text, label = m[3] or "", m[2] or ""
+            while True:
+                b = _label_bytes(f"{m[0] / rate:.7g}\t{(m[0] + (m[1] or 0)) / rate:.7g}\t{text}\t{label}")
+                if len(b) <= 63:
+                    return b.ljust(63) + b"\r\n"
+                text, label = (text[:-1], label) if text else ("", label[:-1])  # whole characters, of the label last
+
+        return _chunk(b"LBL ", b" " * 63 + b"\r\n" + b"".join(map(line, markers)))
     out = _chunk(b"CUE ", struct.pack("<I", len(markers)) + b"".join(struct.pack("<II4sIII", i, m[0], b"data", 0, 0, 0) for i, m in enumerate(markers)))
     spans = [(i, m[1]) for i, m in enumerate(markers) if (m[1] or 0) > 0]
     if spans:
@@ -310,21 +377,45 @@ def marker_chunks(markers: list[tuple], rate: float, hint: str = "cue") -> bytes
     body = b""
     for i, (_, span, label, text) in enumerate(markers):
         if label:
-            body += _chunk(b"labl", struct.pack("<I", i) + label.encode("latin-1", "replace") + b"\0")
+            body += _chunk(b"labl", struct.pack("<I", i) + _label_bytes(label) + b"\0")
         if text:
-            body += _chunk(b"ltxt", struct.pack("<IIIHHHH", i, span or 0, 0, 0, 0, 0, 0) + text.encode("latin-1", "replace") + b"\0")
+            body += _chunk(b"ltxt", struct.pack("<IIIHHHH", i, span or 0, 0, 0, 0, 0, 0) + _label_bytes(text) + b"\0")
     return out + (_chunk(b"LIST", b"adtl" + body) if body else b"")
 
 
-def build(x: np.ndarray, rate: float, encoding: str = "PCM_16", md: dict | None = None, markers: list[tuple] = (), hint: str = "cue", rounding: str = "floor") -> bytes:
-    """A whole RIFF/WAVE file of (frames, channels) doubles. ValueError for an encoding that WAVE doesn't have."""
+def frame_of(frames: int, channels: int, rate: float, encoding: str, md: dict | None = None, markers: list[tuple] = (), hint: str = "cue") -> tuple[bytes, bytes]:
+    """(what comes before, what comes after) the samples in a file. ValueError for an encoding that WAVE doesn't have, and for more than its 4 GB."""
     if encoding not in ENCODINGS:
         raise ValueError(f"unknown encoding {encoding!r}")
     kind, bits = ENCODINGS[encoding]
-    width = x.shape[1] * bits // 8
-    fmt = _chunk(b"fmt ", struct.pack("<HHIIHH", kind, x.shape[1], int(rate), int(rate) * width, width, bits))
-    body = b"WAVE" + fmt + metadata_chunks(md or {}) + _chunk(b"data", encode(x, encoding, rounding)) + marker_chunks(list(markers), rate, hint)
-    return b"RIFF" + struct.pack("<I", len(body)) + body
+    width = channels * bits // 8
+    fmt = _chunk(b"fmt ", struct.pack("<HHIIHH", kind, channels, int(rate), int(rate) * width, width, bits))
+    head, tail = b"WAVE" + fmt + metadata_chunks(md or {}), marker_chunks(list(markers), rate, hint)
+    size = frames * width
+    total = len(head) + 8 + size + size % 2 + len(tail)
+    if total >= 1 << 32:
+        raise ValueError(f"{frames} frames of {channels} channels exceed the 4 GB of a RIFF file; write several")
+    return b"RIFF" + struct.pack("<I", total) + head + b"data" + struct.pack("<I", size), b"\0" * (size % 2) + tail
+
+
+def build(x: np.ndarray, rate: float, encoding: str = "PCM_16", md: dict | None = None, markers: list[tuple] = (), hint: str = "cue", rounding: str = "floor") -> bytes:
+    """A whole RIFF/WAVE file of (frames, channels) doubles."""
+    head, tail = frame_of(*x.shape, rate, encoding, md, markers, hint)
+    return head + encode(x, encoding, rounding) + tail
+
+
+def opened(file, size: int, path: str):
+    """(layout, read(start, stop)) of an open file; ValueError if it is none that can be read."""
+    r = layout(FileBytes(file, size))
+    if not r.encoding:
+        raise ValueError("no known encoding")
+    width = frame_bytes(r)
+
+    def read(start: int, stop: int) -> np.ndarray:
+        file.seek(r.data_pos + start * width)
+        return decode(file.read((min(stop, r.frames) - start) * width), r.encoding, r.channels)
+
+    return r, read
 
 
 def rebuild(raw: bytes, md: dict | None = None, markers: list[tuple] | None = None, hint: str = "cue") -> bytes:

@@ -105,12 +105,92 @@ def test_sink(spark, tmp_path):
 
 
 def test_registry():
-    registry.register("none", ["MP3"], ["MPEG"], lambda: False)
-    assert registry.formats() == ["WAV", "WAVEX"] and registry.encodings("wav")[0] == "PCM_U8" and registry.encodings("MP3") == [] and "none" in registry.unavailable()
-    registry.disable("riff")
-    assert registry.available() == [] and registry.installed() == ["riff"]
-    registry.enable()
-    assert registry.select("riff") and not registry.select("x") and registry.available() == ["riff"]
+    registry.register("none", ["XYZ"], ["MPEG"], lambda: False)
+    try:
+        there = registry.installed()
+        assert there[:2] == ["riff", "wave"] and {"WAV", "WAVEX"} <= set(registry.formats()) and registry.encodings("wav")[0] == "PCM_U8" and registry.encodings("XYZ") == [] and "none" in registry.unavailable()
+        registry.disable("riff")
+        assert "riff" not in registry.available() and registry.installed() == there
+        registry.enable()
+        assert registry.select("riff") and not registry.select("x") and registry.available() == ["riff"]
+    finally:
+        registry.enable()
+        registry.remove("none")
+
+
+def test_codecs_are_tried_in_order(spark, tmp_path):
+    def text_codec(file, size, path):
+        """Numbers in lines, a toy format of this test."""
+        lines = file.read().decode().split()
+        if lines[0] != "numbers":
+            raise ValueError("no numbers")
+        x = np.array(lines[1:], float)[:, None]
+        return riff.Riff(channels=1, rate=10.0, encoding="TEXT", frames=len(x)), lambda a, b: x[a:b]
+
+    (tmp_path / "a.num").write_text("numbers 1 2 3")
+    (tmp_path / "b.wav").write_bytes(riff.build(np.full((2, 1), 0.5), 8000))
+    registry.register("text", ["NUM"], ["TEXT"], suffixes=(".num",), decoder=text_codec)
+    try:
+        riff_source.register(spark)
+        load = lambda v, **o: rows(spark.read.format("riff").option("view", v).options(**o).load(str(tmp_path)))
+        assert load("samples") == [(0, 0, 0, 1.0), (0, 0, 1, 2.0), (0, 0, 2, 3.0), (1, 0, 0, 0.5), (1, 0, 1, 0.5)]
+        assert [r[3:6] for r in load("files")] == [("NUM", "TEXT", 10.0), ("WAV", "PCM_16", 8000.0)] and load("metadata") == []
+        assert load("samples", recording="folder", startFrame=2, stopFrame=4) == [(0, 0, 2, 3.0), (0, 0, 3, 0.5)]
+        (tmp_path / "c.num").write_text("letters")
+        with pytest.raises(Exception, match="text: no numbers"):
+            load("samples")
+        registry.select("wave")  # the standard library reads the second one
+        riff_source.register(spark)
+        assert load("samples") == [(0, 0, 0, 0.5), (0, 0, 1, 0.5)]
+    finally:
+        registry.enable()
+        registry.remove("text")
+        riff_source.register(spark)
+
+
+def test_empty_and_missing_files(spark, tmp_path):
+    riff_source.register(spark)
+    (tmp_path / "e.wav").write_bytes(b"")
+    with pytest.raises(Exception, match="is empty"):
+        spark.read.format("riff").load(str(tmp_path)).collect()
+    with pytest.raises(Exception, match="no file at"):
+        spark.read.format("riff").load(str(tmp_path / "x.wav")).collect()
+
+
+def test_files_in_ranges_and_parts(spark, tmp_path, monkeypatch):
+    x = np.random.default_rng(1).uniform(-0.9, 0.9, (200_000, 2))
+    x[70_000:140_000] = 0
+    data = [(7, c, f, float(x[f, c])) for c in range(2) for f in [*range(0, 200, 7), *range(140_000, 200_000, 1000), 199_999]]
+    want = np.zeros_like(x)
+    for _, c, f, v in data:
+        want[f, c] = v
+    df, rates = spark.createDataFrame(data, "rec_id bigint, channel int, frame bigint, x double"), spark.createDataFrame([(7, 8000.0, "d/n.wav", "DOUBLE")], "rec_id bigint, rate double, name string, encoding string")
+    riff_source.write_recordings(riff_source.to_files(df, rates, markers=spark.createDataFrame([(7, 5, 1, "сова", "’œ€")], "rec_id bigint, pos bigint, span bigint, label string, text string")), str(tmp_path))
+    raw = (tmp_path / "d" / "n.wav").read_bytes()
+    r = riff.parse(raw)
+    assert np.array_equal(riff.samples(raw, r), want) and r.markers == [(5, 1, "сова", "’œ€")] and len(raw) == 8 + int.from_bytes(raw[4:8], "little")
+    monkeypatch.setattr(riff_source, "SPLIT", 300_000)
+    monkeypatch.setattr(riff_source, "RANGE", 10_000)
+    reader = riff_source.RiffReader({"path": f"file://{tmp_path}"}, registry.decoders())
+    parts = reader.partitions()
+    got = np.zeros_like(x)
+    n = 0
+    for p in parts:
+        for b in reader.read(p):
+            got[b.column(2).to_numpy(), b.column(1).to_numpy()] = b.column(3).to_numpy()
+            n += b.num_rows
+    assert len(parts) == -(-len(raw) // 300_000) and n == 400_000 and np.array_equal(got, want)
+    with pytest.raises(ValueError, match="4 GB"):
+        riff.frame_of(1 << 30, 2, 8000, "PCM_16")
+
+
+def test_metadata_of_any_alphabet():
+    md = {"INFO": {"Title": "œ’€", "Artist": "Käuz"}, "BEXT": {"Description": "сова"}, "Free": {"名": "ふくろう"}}
+    r = riff.parse(riff.build(ramp(), 8000, md=md, markers=[(1, 0, "сова", "ふくろう"), (2, 0, "Ã©", "œ’")]))
+    r.metadata.pop("GUANO")
+    assert r.metadata == md and r.markers == [(1, 0, "сова", "ふくろう"), (2, 0, "Ã©", "œ’")]
+    (m,) = riff.parse(riff.build(ramp(), 8000, markers=[(80, 8, "M", "сова" * 30)], hint="lbl")).markers
+    assert m[:3] == (80, 8, "M") and ("сова" * 30).startswith(m[3]) and len(m[3]) > 15
 
 
 @pytest.mark.parametrize("view", ["files", "samples"])
