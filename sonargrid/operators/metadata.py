@@ -141,6 +141,27 @@ def add_values(m: DataFrame, additions: dict[str, str], sep: str = ".") -> DataF
     return result
 
 
+def add_missing(m: DataFrame, key: str, value: str, keys: list[str] | None = None) -> DataFrame:
+    """Metadata with a value added at the top level of recordings that have none of ``keys``, by default the key itself."""
+    has = F.max((~F.coalesce("is_section", F.lit(False)) & F.lower("key").isin([k.lower() for k in keys or [key]])).cast("int"))
+    none = m.groupBy("rec_id").agg(has.alias("has"), (F.max("ord") + 1).cast("int").alias("ord")).where("has = 0")
+    row = {"dict_ord": F.lit(0), "path": F.array().cast("array<string>"), "key": F.lit(key), "value": F.lit(value), "vtype": F.lit("str"), "is_section": F.lit(False)}
+    return m.unionByName(none.select("rec_id", "ord", *[c.alias(k) for k, c in row.items()]).select(*m.columns))
+
+
+def add_sections(m: DataFrame, section: str, sep: str = ".") -> DataFrame:
+    """Metadata with a section, and those around it, as rows of their own after all others, where they are missing; names match in any case."""
+    path = section.split(sep)
+    out = m
+    for i in range(len(path)):
+        at = _SEP.join(p.lower() for p in path[: i + 1])
+        there = out.where("coalesce(is_section, false)").where(F.lower(F.concat_ws(_SEP, "path", F.col("key"))) == at).select("rec_id").distinct()
+        last = out.groupBy("rec_id").agg((F.max("ord") + 1).cast("int").alias("ord")).join(there, "rec_id", "left_anti")
+        row = {"path": F.array(*[F.lit(p) for p in path[:i]]).cast("array<string>"), "key": F.lit(path[i]), "value": F.lit(None).cast("string"), "vtype": F.lit("dict"), "is_section": F.lit(True), "dict_ord": F.lit(0)}
+        out = out.unionByName(last.select("rec_id", "ord", *[c.alias(k) for k, c in row.items()]).select(*m.columns))
+    return out
+
+
 def remove(m: DataFrame, keys: list[str]) -> DataFrame:
     """Metadata without the first match of each key; a section goes with all that is in it."""
     gone = None
@@ -255,6 +276,26 @@ def add_history(m: DataFrame, line: str, keys: list[str] = HISTORY_KEYS) -> Data
     return _replace(m, new)
 
 
+def add_histories(m: DataFrame, lines: DataFrame, keys: list[str] = HISTORY_KEYS) -> DataFrame:
+    """Metadata with a line (rec_id, line, before) for each recording appended to its histories.
+
+    A recording without any gets CodingHistory, in section BEXT if it has one, of the lines ``before`` and ``line``, after CR LF.
+    """
+    mine = lines.select("rec_id", "line", "before").dropDuplicates(["rec_id"])
+    first = _leaves(m).where(F.lower("key").isin([k.lower() for k in keys])).groupBy("rec_id", F.lower("key").alias("k")).agg(F.min_by(F.struct("ord", "value"), F.struct("dict_ord", "ord")).alias("f"))
+    found = first.select("rec_id", "f.*").join(mine, "rec_id").select("rec_id", "ord", F.concat_ws("\r\n", F.when(F.col("value") != "", F.col("value")), "line").alias("new"))
+    out = _replace(m, [found])
+    bext = F.max(F.when(F.coalesce("is_section", F.lit(False)) & (F.size("path") == 0) & (F.upper("key") == "BEXT"), F.col("key")))
+    has = F.max((~F.coalesce("is_section", F.lit(False)) & F.lower("key").isin([k.lower() for k in keys])).cast("int"))
+    about = m.groupBy("rec_id").agg(F.max("ord").alias("o"), F.max("dict_ord").alias("d"), bext.alias("bext"), has.alias("has"))
+    new = mine.join(about, "rec_id", "left").where("coalesce(has, 0) = 0")
+    row = {
+        "ord": F.coalesce(F.col("o") + 1, F.lit(0)).cast("int"), "dict_ord": F.when(F.col("bext").isNull(), 0).otherwise(F.col("d") + 1).cast("int"), "path": F.when(F.col("bext").isNull(), F.array().cast("array<string>")).otherwise(F.array("bext")),
+        "key": F.lit("CodingHistory"), "value": F.concat_ws("\r\n", "before", "line"), "vtype": F.lit("str"), "is_section": F.lit(False),
+    }
+    return out.unionByName(new.select("rec_id", *[c.alias(k) for k, c in row.items()]).select(*m.columns))
+
+
 def add_unwrap(m: DataFrame, thresh: float, clip: float = 0.0, unit: str = "") -> DataFrame:
     """Metadata with the unwrap threshold, and the clipped amplitude if there is one, in section INFO."""
     adds = {"INFO.UnwrapThreshold": f"{thresh:.2f}{unit}"} | ({"INFO.UnwrapClippedAmplitude": f"{clip:.2f}{unit}"} if clip > 0 else {})

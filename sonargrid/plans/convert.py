@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from sonargrid.functions import texts
 from sonargrid.operators import metadata as meta
 from sonargrid.operators import recordings
 from sonargrid.operators import signal as sig
-from sonargrid.sources import riff_source
+from sonargrid.session import checkpoint
+from sonargrid.sources import riff, riff_source
 
 
 @dataclass
@@ -25,6 +27,8 @@ class Conversion:
     ampl_max: float = 1.0
     unit: str = ""
     decimate: int = 1
+    #: Name of the outputs without suffix, with keys of the metadata in braces; empty for the names of the inputs.
+    name: str = ""
     add: dict[str, str] = field(default_factory=dict)
     remove: list[str] = field(default_factory=list)
 
@@ -41,12 +45,14 @@ def modify_samples(s: DataFrame, c: Conversion) -> DataFrame:
 
 
 def modify_metadata(m: DataFrame, c: Conversion) -> DataFrame:
-    """Metadata in step with ``modify_samples``: gain, unwrap threshold and clip, then removals and additions."""
+    """Metadata in step with ``modify_samples``: gain, unwrap threshold and clip, then removals and additions. Scaling leaves a gain where there was none."""
     factor = c.scale * (0.5 if c.unwrap > 0 and c.unwrap_mode == "halve" else 1.0)
     if factor != 1.0:
         m = meta.update_gain(m, factor)
+    if c.scale != 1.0:
+        m = meta.add_missing(m, "gain", f"{1 / factor:g}", meta.GAIN_KEYS)
     if c.unwrap > 0:
-        m = meta.add_unwrap(m, c.unwrap, c.ampl_max if c.unwrap_mode == "clip" else 0.0, c.unit)
+        m = meta.add_unwrap(m, c.unwrap * c.ampl_max, c.ampl_max if c.unwrap_mode == "clip" else 0.0, c.unit)
     if c.remove:
         m = meta.cleanup(meta.remove(m, c.remove))
     return meta.add_values(m, c.add) if c.add else m
@@ -85,25 +91,31 @@ def check_continuity(files: DataFrame, starts: DataFrame, max_gap_s: float = 1.0
         raise ValueError(f"{first} does not continue its recording")
 
 
-def convert(spark: SparkSession, source: str, target: str, c: Conversion, encoding: str = "PCM_16", merge: int = 0, folders: bool = False, hint: str = "cue", mode: str = "strict", max_gap_s: float = 1.0) -> None:
+def convert(spark: SparkSession, source: str, target: str, c: Conversion, encoding: str | None = None, merge: int = 0, folders: bool = False, hint: str = "cue", mode: str = "strict", max_gap_s: float = 1.0) -> None:
     """Read recordings at ``source``, change them and write them to the folder ``target``.
 
     Outputs lie below ``target`` as their first files lie below ``source``; equal names, as of x.wav and x.WAV, are an error.
     With ``folders`` all files of a folder are one recording, written as one file or, with ``merge``, as one file per so many.
     These must continue each other by their start times, up to ``max_gap_s``; with ``mode`` "relaxed" start times may be missing.
-    Every output has the metadata of all files of its recording, of a repeated key the last value, but the first file's start time.
+    Outputs have the encoding given, or else that of their recording's first file, or PCM_16 if WAVE hasn't got that.
+    Every output has the metadata of all files of its recording, of a repeated key the last value, but the first file's start time, and a line of
+    coding history: after those that are there, or in a new history that begins with a line for the source.
     """
     riff_source.register(spark)
     view = lambda v: spark.read.format("riff").option("view", v).option("recording", "folder" if folders else "file").load(source)
     files, said = view("files").cache(), view("metadata").cache()
     kept = [files, said]  # small, and read by many steps
-    if not files.groupBy("rec_id").agg((F.count_distinct("rate", "channels") > 1).alias("mixed")).where("mixed").isEmpty():
+    kinds, last = files.groupBy("rec_id").agg(F.count_distinct("rate", "channels").alias("kinds"), F.max("file_idx").alias("last")).agg(F.max("kinds"), F.max("last")).first()
+    if kinds > 1:
         raise ValueError("files of one recording differ in rate or channels")
     if folders:
         starts = start_times(said).cache()
         kept.append(starts)
         check_continuity(files, starts, max_gap_s, mode)
-    cut = groups(files, merge).withColumns({"out_id": F.col("rec_id") * 100_000 + F.col("part"), "low": F.floor(F.col("low") / c.decimate), "high": F.ceil(F.col("high") / c.decimate)})
+    cut = groups(files, merge)
+    most = last // merge if merge > 0 else 0
+    up = lambda v: F.ceil(F.col(v) / c.decimate)  # noqa: E731 - both ends alike, so that every frame has one output
+    cut = cut.withColumns({"out_id": F.col("rec_id") * (most + 1) + F.col("part"), "low": up("low"), "high": up("high")})
     samples = modify_samples(view("samples"), c)
     placed = samples.join(cut.select("rec_id", "out_id", "low", "high"), "rec_id").where("frame >= low AND frame < high")
     placed = placed.select(F.col("out_id").alias("rec_id"), "channel", (F.col("frame") - F.col("low")).alias("frame"), "x")
@@ -114,18 +126,31 @@ def convert(spark: SparkSession, source: str, target: str, c: Conversion, encodi
     else:
         md = said.drop("file_idx")
     outs = cut.select("rec_id", "out_id")
-    md = modify_metadata(md, c).join(outs, "rec_id").drop("rec_id").withColumnRenamed("out_id", "rec_id")
+    md = checkpoint(modify_metadata(md, c).join(outs, "rec_id").drop("rec_id").withColumnRenamed("out_id", "rec_id"))  # small, and a long plan
     offsets = files.select("rec_id", "file_idx", F.col("start_index").alias("offset"))
     marks = view("markers").join(offsets, ["rec_id", "file_idx"]).withColumn("pos", F.col("pos") + F.col("offset"))
     marks = modify_markers(marks, c).join(cut.select("rec_id", "out_id", "low", "high"), "rec_id").where("pos >= low AND pos < high")
     marks = marks.select(F.col("out_id").alias("rec_id"), (F.col("pos") - F.col("low")).alias("pos"), "span", "label", "text")
-    head = files.where("file_idx = 0").select("rec_id", "path", (F.col("rate") / c.decimate).alias("rate"), "encoding", "channels")
+    head = files.where("file_idx = 0").select("rec_id", "path", "rate", "encoding", "channels")
     channels = F.lit(len(c.channels)) if c.channels else F.col("channels")
-    name = F.concat(F.regexp_extract(riff_source.below(source, F.col("path")), r"(?s)^(.*?)(\.[^./]*)?$", 1), F.when(F.lit(merge > 0), F.format_string("-%04d", "part")).otherwise(""), F.lit(".wav"))
-    rates = cut.join(head, "rec_id").select(F.col("out_id").alias("rec_id"), "rate", name.alias("name"), texts.history(F.lit(encoding), F.col("rate"), channels, F.lit("sonargrid")).alias("line"))
+    to = F.lit(encoding) if encoding else F.when(F.col("encoding").isin(list(riff.ENCODINGS)), F.col("encoding")).otherwise("PCM_16")
+    own = riff_source.below(source, F.col("path"))
+    stem = F.regexp_extract(own, r"(?s)^(.*?)(\.[^./]*)?$", 1)
+    outs = cut.join(head, "rec_id")
+    if c.name:
+        keys = list(dict.fromkeys(re.findall(r"\{([^{}]+)\}", c.name)))
+        flat = meta.flatten(md).where(F.col("key").isin(keys) & F.col("value").isNotNull()).groupBy("rec_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("values"))
+        outs = outs.join(flat.withColumnRenamed("rec_id", "out_id"), "out_id", "left")
+        filled = F.coalesce(texts.fill_name(F.lit(c.name), F.coalesce("values", F.create_map().cast("map<string,string>")), keys), F.lit(c.name))
+        stem = F.concat(F.regexp_extract(own, r"^(.*/)?", 0), F.regexp_replace(filled, "/", "_"))
+    name = F.concat(stem, F.when(F.lit(merge > 0), F.format_string("-%04d", "part")).otherwise(""), F.lit(".wav"))
+    rates = outs.select(
+        F.col("out_id").alias("rec_id"), (F.col("rate") / c.decimate).alias("rate"), name.alias("name"), to.alias("encoding"),
+        texts.history(F.col("encoding"), F.col("rate"), F.col("channels"), own).alias("before"), texts.history(to, F.col("rate") / c.decimate, channels, name).alias("line"),
+    ).cache()
+    kept.append(rates)
     riff_source.check_names(rates)
-    line = rates.select("rec_id", F.col("line").alias("new"))
-    md = md.join(line, "rec_id", "left").withColumn("value", F.when(F.lower("key").isin([k.lower() for k in meta.HISTORY_KEYS]), F.concat_ws("\r\n", F.when(F.col("value") != "", F.col("value")), "new")).otherwise(F.col("value"))).drop("new")
-    riff_source.write_recordings(riff_source.to_files(placed, rates, md, marks, encoding, hint), target)
+    md = meta.add_histories(md, rates.select("rec_id", "line", "before"))
+    riff_source.write_recordings(riff_source.to_files(placed, rates, md, marks, "PCM_16", hint), target)
     for df in kept:
         df.unpersist()

@@ -89,6 +89,37 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert len(list((tmp_path / "o").iterdir())) == 2 and cli.channel_list("0-2,5") == [0, 1, 2, 5]
 
 
+def test_conversion_keeps_what_it_has(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    x = tone(1001)
+    (d / "a.wav").write_bytes(riff.build(x, 8000, "DOUBLE", {"INFO": {"Title": "night walk", "Artist": "сова"}, "BEXT": {"Description": "d"}}, [(7, 2, "сова", "œ’")]))
+    (d / "b.wav").write_bytes(riff.build(x, 8000, "PCM_24"))
+    convert(spark, str(d), str(tmp_path / "same"), Conversion(scale=0.5, name="{Title}_{None}"))
+    assert outputs(tmp_path / "same") == ["night_walk_{None}.wav", "{Title}_{None}.wav"]
+    r, y = read(tmp_path / "same" / "night_walk_{None}.wav")
+    assert r.encoding == "DOUBLE" and np.array_equal(y, 0.5 * x) and r.metadata["INFO"] == {"Title": "night walk", "Artist": "сова"} and r.metadata["gain"] == "2" and r.markers == [(7, 2, "сова", "œ’")]
+    assert r.metadata["BEXT"]["CodingHistory"].splitlines() == ["A=DOUBLE,F=8000,M=stereo,T=a.wav", "A=DOUBLE,F=8000,M=stereo,T=night_walk_{None}.wav"]
+    r, _ = read(tmp_path / "same" / "{Title}_{None}.wav")
+    assert r.encoding == "PCM_24" and r.metadata["CodingHistory"].splitlines()[0] == "A=PCM,F=8000,W=24,M=stereo,T=b.wav"
+
+
+def test_cuts_that_decimation_does_not_meet(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    for i in range(2):
+        (d / f"{i}.wav").write_bytes(riff.build(tone(1001), 1001, "DOUBLE", {"INFO": {"DateTimeOriginal": f"2019-01-01T00:00:0{i}"}}, [(1000, 0, "m", None)]))
+    convert(spark, str(d), str(tmp_path / "out"), Conversion(decimate=2), folders=True, merge=1)
+    parts = [read(tmp_path / "out" / f"0-000{i}.wav")[0] for i in range(2)]
+    assert [p.frames for p in parts] == [501, 500] and [len(p.markers) for p in parts] == [1, 1]
+
+
+def test_demo(spark, tmp_path):
+    cli.main(["demo", str(tmp_path / "d"), "-c", "3", "-e", "PCM_24"])
+    r, x = read(tmp_path / "d" / "demo.wav")
+    assert (r.channels, r.frames, r.encoding) == (3, 44100, "PCM_24") and r.metadata["INFO"]["Title"] == "demo" and len(r.markers) == 2 and 0.9 < x[:, 0].max() <= 1
+
+
 def outputs(path):
     return sorted(str(p.relative_to(path)) for p in path.rglob("*") if p.is_file())
 
