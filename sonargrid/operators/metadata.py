@@ -18,6 +18,7 @@ from sonargrid.sources import riff
 START_KEYS = [["DateTimeOriginal"], ["OriginationDate", "OriginationTime"], ["Location_Time"], ["Timestamp"]]
 REFERENCE_KEYS, GAIN_KEYS, HISTORY_KEYS = ["TimeReference"], ["gain"], ["History", "CodingHistory", "BWF_CODING_HISTORY"]
 _SEP = "\u0001"
+_ISO = r"^\s*\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?\s*$"
 
 
 def distinct_rows(m: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def get_datetime(m: DataFrame, keys: list[list[str]] = START_KEYS) -> DataFrame:
         f = find(m, k[0]).select("rec_id", F.col("value").alias("said"))
         if len(k) == 2:
             f = f.join(find(m, k[1]).select("rec_id", F.col("value").alias("t")), "rec_id").select("rec_id", F.concat_ws("T", F.trim("said"), F.trim("t")).alias("said"))
-        f = f.select("rec_id", F.lit(i).alias("priority"), F.when(F.col("said").rlike(r"^\s*\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?\s*$"), F.trim("said")).try_cast("timestamp_ntz").alias("value")).where("value IS NOT NULL")
+        f = f.select("rec_id", F.lit(i).alias("priority"), F.when(F.col("said").rlike(_ISO), F.trim("said")).try_cast("timestamp_ntz").alias("value")).where("value IS NOT NULL")
         found = f if found is None else found.unionByName(f)
     return found.groupBy("rec_id").agg(F.min_by("value", "priority").alias("value"))
 
@@ -233,11 +234,11 @@ def update_gain(m: DataFrame, factor: float, keys: list[str] = GAIN_KEYS) -> Dat
 
 
 def _shifted(value: Column, seconds: float) -> Column:
-    return F.timestamp_add("MICROSECOND", F.lit(round(seconds * 1e6)), value.try_cast("timestamp_ntz"))
+    return F.timestamp_add("MICROSECOND", F.lit(round(seconds * 1e6)), F.when(value.rlike(_ISO), value).try_cast("timestamp_ntz"))
 
 
 def update_starttime(m: DataFrame, seconds: float, rate: float) -> DataFrame:
-    """Metadata with all start times moved by ``seconds``, printed to whole seconds, and time references by the frames of that. A date moves with its time."""
+    """Metadata with all start times moved by ``seconds``, printed to whole seconds, and time references by the frames of that. A date moves with its time; what is no date and time in ISO form stays."""
     parts = []
     for k in START_KEYS:
         if len(k) == 1:

@@ -148,6 +148,12 @@ def last_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.where("tag IS NOT NULL AND ord IS NOT NULL").groupBy("rec_id", F.upper("tag").alias("tag")).agg(last.alias("c")).select("rec_id", "tag", "c.pos", "c.size")
 
 
+def chunk_sizes(chunks: DataFrame) -> DataFrame:
+    """(rec_id, chunks, bytes, largest) of distinct chunks: how many, what they take with their 8 bytes of head and padded to even sizes, and the largest; a null size counts for nothing."""
+    rows = chunks.where("ord IS NOT NULL").distinct()
+    return rows.groupBy("rec_id").agg(F.count("*").alias("chunks"), F.sum(F.col("size") + F.col("size") % 2 + 8).alias("bytes"), F.max("size").alias("largest"))
+
+
 def sessions(rows: DataFrame, keys: list[str], time: str, gap_us: int) -> DataFrame:
     """(keys.., session, first_us, last_us, n): runs of rows no more than ``gap_us`` microseconds apart; ``time`` is a count of microseconds."""
     w = Window.partitionBy(*keys).orderBy(time)

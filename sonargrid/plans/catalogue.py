@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,8 @@ from sonargrid.functions import quantities, texts
 from sonargrid.operators import metadata as meta
 from sonargrid.operators import recordings as rec
 from sonargrid.operators import signal as sig
-from sonargrid.session import table
+from sonargrid.session import is_small, shared_folder, table
+from sonargrid.sources import riff_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,6 +77,11 @@ def index_list(spark, d):
     return sig.take_frames(_signal(spark, d), [7, 3, 7, 59])
 
 
+@query(f"WITH {_SIG}, n AS (SELECT rec_id, max(frame) + 1 AS n FROM sig GROUP BY rec_id), want AS (SELECT * FROM (VALUES (0, -1), (1, 0), (2, -10), (3, -1)) t(position, f)) SELECT position, s.rec_id, channel, frame, x FROM n, want JOIN sig s ON s.rec_id = n.rec_id AND s.frame = f + CASE WHEN f < 0 THEN n ELSE 0 END")
+def index_list_from_end(spark, d):
+    return sig.take_frames(_signal(spark, d), [-1, 0, -10, -1])
+
+
 @query(f"WITH {_SIG}, r AS (SELECT rec_id, max(rate) AS rate FROM files GROUP BY rec_id) SELECT s.* FROM sig s JOIN r USING (rec_id) WHERE frame >= trunc(0.002::DOUBLE * rate)::BIGINT AND frame < trunc(0.01::DOUBLE * rate)::BIGINT + 1")
 def time_range(spark, d):
     return sig.time_range(_signal(spark, d), table(spark, d, "files"), 0.002, 0.01)
@@ -118,6 +125,15 @@ def quantization_error(spark, d):
     return sig.quantization_error(_signal(spark, d))
 
 
+@query(f"""WITH {_SIG}, e AS (SELECT rec_id, channel, x - least(greatest(floor(x * 32768)::BIGINT, -32768), 32767) / 32768.0::DOUBLE AS d FROM sig),
+g AS (SELECT rec_id, channel, count(d) AS n, max(abs(d)) AS worst, {_SUM.replace('x /', 'd /')} / count(d) AS mean, {_SUM.replace('x /', '(d * d) /')} / count(d) AS square FROM e GROUP BY 1, 2)
+SELECT rec_id, channel, n, worst, mean, sqrt(greatest(square - mean * mean, 0)) AS std FROM g""")
+def difference_std(spark, d):
+    """The samples against themselves as 16-bit numbers."""
+    s = _signal(spark, d)
+    return sig.difference_stats(s, sig.quantize(s).select("rec_id", "channel", "frame", (F.col("q") / 32768.0).alias("x")))
+
+
 def _despike_sql(n: int, thresh: float) -> str:
     ctes, src = [_SIG], "sig"
     w = "OVER (PARTITION BY rec_id, channel ORDER BY frame)"
@@ -324,9 +340,14 @@ def marker_table(spark, d):
     return rec.marker_table(_markers(spark, d))
 
 
-@query("SELECT rec_id, upper(tag) AS tag, arg_max(pos, ord) AS pos, arg_max(size + size % 2, ord) AS size FROM (SELECT DISTINCT * FROM chunks WHERE tag IS NOT NULL AND ord IS NOT NULL AND size IS NOT NULL AND pos IS NOT NULL) GROUP BY 1, 2")
+@query("SELECT rec_id, upper(tag) AS tag, arg_max({'v': pos}, ord).v AS pos, arg_max({'v': size + size % 2}, ord).v AS size FROM (SELECT DISTINCT * FROM chunks WHERE tag IS NOT NULL AND ord IS NOT NULL) GROUP BY 1, 2")
 def chunks_last_wins(spark, d):
-    return rec.last_chunks(table(spark, d, "chunks").where("size IS NOT NULL AND pos IS NOT NULL"))
+    return rec.last_chunks(table(spark, d, "chunks"))
+
+
+@query("SELECT rec_id, count(*) AS chunks, sum(size + size % 2 + 8)::BIGINT AS bytes, max(size) AS largest FROM (SELECT DISTINCT * FROM chunks WHERE ord IS NOT NULL) GROUP BY rec_id")
+def chunk_sizes(spark, d):
+    return rec.chunk_sizes(table(spark, d, "chunks"))
 
 
 @query("""WITH e AS (SELECT event_type, epoch_us(ts) AS us FROM events), n AS (SELECT *, coalesce((us - lag(us) OVER (PARTITION BY event_type ORDER BY us) > 3600000000)::BIGINT, 0) AS new FROM e),
@@ -448,16 +469,64 @@ def metadata_text(spark, d):
     return meta.as_text(_meta(spark, d))
 
 
-@query()
+@query(f"""WITH {_MD}, {_LEAF}, {_PARSED}, f AS (SELECT rec_id, ord FROM {_find_sql('gain')}), g AS (SELECT p.rec_id, p.ord, num / 2 AS v, CASE WHEN instr(head, '.') > 0 THEN length(head) - instr(head, '.') ELSE 0 END + 1 AS digits,
+  regexp_replace(trim(substr(value, length(head) + 1)), '/V$', '') AS unit FROM p JOIN f USING (rec_id, ord) WHERE num IS NOT NULL),
+n AS (SELECT rec_id, ord, CASE digits {' '.join(f"WHEN {i} THEN printf('%.{i}f', v)" for i in range(1, 13))} END || unit AS new FROM g)
+SELECT md.rec_id, md.ord, md.key, coalesce(new, value) AS value FROM md LEFT JOIN n USING (rec_id, ord)""")
 def update_gain(spark, d):
     return meta.update_gain(_meta(spark, d), 2.0).select("rec_id", "ord", "key", "value")
 
 
-@query()
+@query(f"""WITH {_MD}, {_LEAF}, said AS (SELECT rec_id, ord, value FROM {_find_sql('datetimeoriginal')} UNION ALL SELECT rec_id, ord, value FROM {_find_sql('location_time')} UNION ALL SELECT rec_id, ord, value FROM {_find_sql('timestamp')}),
+one AS (SELECT rec_id, ord, try_cast(trim(value) AS TIMESTAMP) + INTERVAL 90 SECOND AS t FROM said WHERE regexp_matches(value, '{_ISO}')),
+pair AS (SELECT d.rec_id, d.ord AS o0, t.ord AS o1, trim(d.value) || 'T' || trim(t.value) AS value FROM {_find_sql('originationdate')} d JOIN {_find_sql('originationtime')} t USING (rec_id)),
+two AS (SELECT rec_id, o0, o1, try_cast(value AS TIMESTAMP) + INTERVAL 90 SECOND AS t FROM pair WHERE regexp_matches(value, '{_ISO}')),
+n AS (SELECT rec_id, ord, strftime(t, '%Y-%m-%dT%H:%M:%S') AS new FROM one UNION ALL SELECT rec_id, o0, strftime(t, '%Y-%m-%d') FROM two UNION ALL SELECT rec_id, o1, strftime(t, '%H:%M:%S') FROM two
+UNION ALL SELECT rec_id, ord, (try_cast(trim(value) AS BIGINT) + 3969000)::VARCHAR FROM {_find_sql('timereference')} WHERE regexp_matches(trim(value), '^[+-]?[0-9]+$'))
+SELECT md.rec_id, md.ord, md.key, coalesce(new, value) AS value FROM md LEFT JOIN (SELECT * FROM n WHERE new IS NOT NULL) USING (rec_id, ord)""")
 def starttime_shift(spark, d):
     return meta.update_starttime(_meta(spark, d), 90.0, 44100.0).select("rec_id", "ord", "key", "value")
 
 
+@query(f"""WITH {_MD}, {_LEAF}, k AS (SELECT rec_id, value, 0 AS pr FROM {_find_sql('filtered')} UNION ALL SELECT rec_id, value, 1 FROM {_find_sql('gain')}),
+w AS (SELECT rec_id, arg_min(CASE WHEN lower(trim(value)) IN ('true', 'yes', 'on') THEN true ELSE false END, pr) AS w FROM k WHERE lower(trim(value)) IN ('true', 'yes', 'on', 'false', 'no', 'off') GROUP BY 1),
+n AS (SELECT rec_id, arg_min(try_cast(regexp_extract(value, '^([0-9+-]*\\.?[0-9+-]*)', 1) AS DOUBLE) <> 0, pr) AS n FROM k WHERE try_cast(regexp_extract(value, '^([0-9+-]*\\.?[0-9+-]*)', 1) AS DOUBLE) IS NOT NULL GROUP BY 1)
+SELECT rec_id, coalesce(w, n) AS value FROM w FULL JOIN n USING (rec_id)""")
+def get_bool(spark, d):
+    return meta.get_bool(_meta(spark, d), ["Filtered", "Gain"])
+
+
+@query(f"""WITH {_MD}, {_LEAF}, {_PARSED}, c AS (SELECT num, trim(substr(value, length(head) + 1)) AS unit, rec_id FROM p JOIN (SELECT rec_id, ord FROM {_find_sql('highpass')}) USING (rec_id, ord) WHERE num IS NOT NULL)
+SELECT rec_id, num AS value FROM c WHERE unit IN ('', 'Hz') UNION ALL SELECT rec_id, num * 1000.0::DOUBLE / 1.0::DOUBLE FROM c WHERE unit = 'kHz' UNION ALL SELECT rec_id, num * 0.001::DOUBLE / 1.0::DOUBLE FROM c WHERE unit = 'mHz'""")
+def get_number(spark, d):
+    """Highpass in Hertz, of values written in Hz, kHz, mHz or without a unit."""
+    m = _meta(spark, d)
+    plain = meta.get_number_unit(m, ["Highpass"]).where(F.col("unit").isin("", "Hz", "kHz", "mHz")).select("rec_id")
+    return meta.get_number(m, "Hz", ["Highpass"]).join(plain, "rec_id")
+
+
+@query(f"""WITH {_MD}, {_LEAF}, h AS (SELECT rec_id, ord, lower(key) AS k, value FROM leaf WHERE lower(key) IN ('history', 'codinghistory', 'bwf_coding_history') QUALIFY row_number() OVER (PARTITION BY rec_id, lower(key) ORDER BY dict_ord, ord) = 1),
+r AS (SELECT rec_id, max(ord) + 1 AS ord, max(CASE WHEN is_section AND len(path) = 0 AND upper(key) = 'BEXT' THEN key END) AS bext FROM md GROUP BY rec_id HAVING rec_id NOT IN (SELECT rec_id FROM h))
+SELECT md.rec_id, md.ord, array_to_string(path, '/') AS section, md.key, CASE WHEN h.ord IS NULL THEN md.value ELSE CASE WHEN h.value <> '' THEN h.value || chr(13) || chr(10) ELSE '' END || 'A=PCM,W=16' END AS value FROM md LEFT JOIN h USING (rec_id, ord)
+UNION ALL SELECT rec_id, ord, coalesce(bext, ''), 'CodingHistory', 'A=FLOAT' || chr(13) || chr(10) || 'A=PCM,W=16' FROM r""")
+def metadata_history(spark, d):
+    m = _meta(spark, d)
+    lines = m.select("rec_id").distinct().select("rec_id", F.lit("A=PCM,W=16").alias("line"), F.lit("A=FLOAT").alias("before"))
+    return meta.add_histories(m, lines).select("rec_id", "ord", F.concat_ws("/", "path").alias("section"), "key", "value")
+
+
+@query(f"""WITH {_MD}, {_LEAF}, g AS (SELECT rec_id, max(ord) + 1 AS ord FROM md GROUP BY rec_id HAVING count(*) FILTER (lower(key) = 'gain' AND NOT coalesce(is_section, false)) = 0)
+SELECT rec_id, ord, key, value FROM md UNION ALL SELECT rec_id, ord, 'gain', '0.5' FROM g""")
+def metadata_add_missing(spark, d):
+    return meta.add_missing(_meta(spark, d), "gain", "0.5").select("rec_id", "ord", "key", "value")
+
+
+@query(f"""WITH {_MD}, a AS (SELECT rec_id, max(ord) + 1 AS ord, bool_or(coalesce(is_section, false) AND len(path) = 0 AND lower(key) = 'info') AS has FROM md GROUP BY rec_id), b AS (SELECT rec_id, ord + CASE WHEN has THEN 0 ELSE 1 END AS ord FROM a)
+SELECT rec_id, ord, array_to_string(path, '/') AS section, key FROM md UNION ALL SELECT rec_id, ord, '', 'INFO' FROM a WHERE NOT has UNION ALL SELECT rec_id, ord, 'INFO', 'Survey' FROM b""")
+def metadata_add_sections(spark, d):
+    return meta.add_sections(_meta(spark, d), "INFO.Survey").select("rec_id", "ord", F.concat_ws("/", "path").alias("section"), "key")
+
+
 @query(f"WITH {_MD}, {_LEAF}, s AS (SELECT rec_id, ord, '2024-05-06T07:08:09' AS new FROM {_find_sql('datetimeoriginal')} UNION ALL SELECT rec_id, ord, '2024-05-06' FROM {_find_sql('originationdate')} UNION ALL SELECT rec_id, ord, '07:08:09' FROM {_find_sql('originationtime')}) SELECT md.rec_id, md.ord, md.key, coalesce(new, value) AS value FROM md LEFT JOIN s USING (rec_id, ord)")
 def starttime_set(spark, d):
     return meta.set_starttime(_meta(spark, d), "2024-05-06T07:08:09").select("rec_id", "ord", "key", "value")
@@ -498,3 +567,71 @@ def extension_format(spark, d):
 @query(f"WITH {_FILES} SELECT format, encoding, count(*) AS files, count(DISTINCT rec_id) AS recordings FROM fs GROUP BY 1, 2")
 def formats_used(spark, d):
     return _files(spark, d).groupBy("format", "encoding").agg(F.count("*").alias("files"), F.count_distinct("rec_id").alias("recordings"))
+
+
+@query("""WITH t AS (SELECT DISTINCT rec_id, channels FROM files WHERE channels IS NOT NULL) SELECT rec_id, channels, range(0, channels) || [channels + 2, channels + 3, channels + 4] AS list FROM t""")
+def parse_channels(spark, d):
+    f = table(spark, d, "files").where("channels IS NOT NULL").select("rec_id", "channels").distinct()
+    said = F.concat(F.lit("0-"), F.col("channels") - 1, F.lit(", x, "), F.col("channels") + 2, F.lit(" - "), F.col("channels") + 4)
+    return f.select("rec_id", "channels", texts.parse_channels(said).cast("array<bigint>").alias("list"))
+
+
+@query(f"WITH {_MD}, {_LEAF} SELECT rec_id, ord, coalesce(value, '') AS v, vtype AS t FROM leaf WHERE NOT regexp_matches(coalesce(value, ''), '[,=]') AND trim(coalesce(value, '')) = coalesce(value, '') AND vtype IS NOT NULL")
+def key_values(spark, d):
+    m = _meta(spark, d).where("NOT coalesce(is_section, false) AND vtype IS NOT NULL").withColumn("v", F.coalesce("value", F.lit(""))).where("NOT v RLIKE '[,=]' AND trim(v) = v")
+    said = texts.key_values(F.concat(F.lit("v=old, t = "), "vtype", F.lit(",x , v="), "v"))
+    return m.select("rec_id", "ord", said["v"].alias("v"), said["t"].alias("t"))
+
+
+@query(f"WITH {_FILES} SELECT rec_id, file_idx, format || '-' || replace(coalesce(encoding, '{{encoding}}'), ' ', '_') || '-{{none}}.wav' AS name FROM fs WHERE format IS NOT NULL")
+def fill_name(spark, d):
+    f = _files(spark, d).where("format IS NOT NULL")
+    values = F.map_from_entries(F.filter(F.array(F.struct(F.lit("format").alias("k"), F.col("format").alias("v")), F.struct(F.lit("encoding").alias("k"), F.col("encoding").alias("v"))), lambda e: e["v"].isNotNull()))
+    return f.select("rec_id", "file_idx", texts.fill_name(F.lit("{format}-{encoding}-{none}.wav"), values, ["format", "encoding", "none"]).alias("name"))
+
+
+# files, written and read again
+
+
+def _written(spark: SparkSession, d: str, view: str) -> DataFrame:
+    """A view of the recordings of the samples table as 16-bit files, with the metadata of section INFO and the markers that files can hold."""
+    s = table(spark, d, "samples").where("frame >= 0")
+    rates = _files(spark, d).groupBy("rec_id").agg(F.max("rate").alias("rate"))
+    info = _meta(spark, d).where("NOT coalesce(is_section, false) AND size(path) = 1 AND path[0] = 'INFO' AND value <> ''").groupBy("rec_id", "key").agg(F.max_by("value", "ord").alias("value"), F.max("ord").alias("ord"))
+    info = info.select("rec_id", "ord", F.array(F.lit("INFO")).alias("path"), "key", "value", F.lit(False).alias("is_section"))
+    marks = _markers(spark, d).where("pos >= 0 AND pos < 4294967296 AND coalesce(span, 0) >= 0").select("rec_id", "pos", "span", "label", "text")
+    target = f"{shared_folder(spark)}/riff-{uuid.uuid4().hex}"
+    riff_source.write_recordings(riff_source.to_files(s, rates, info, marks), target)
+    f = spark.read.format("riff").option("view", view).load(target)
+    names = spark.read.format("riff").option("view", "files").load(target).select("rec_id", F.regexp_extract("path", r"rec(\d+)\.wav$", 1).cast("bigint").alias("own"))
+    return f.join(F.broadcast(names) if is_small(names) else names, "rec_id").drop("rec_id").withColumnRenamed("own", "rec_id")
+
+
+_SIZE = "size AS (SELECT rec_id, max(frame) + 1 AS frames, max(channel) + 1 AS channels FROM sig WHERE rec_id IN (SELECT rec_id FROM files) GROUP BY rec_id)"
+
+
+@query(f"WITH {_SIG}, {_SIZE}, r AS (SELECT rec_id, max(rate) AS rate FROM files GROUP BY rec_id) SELECT rec_id, 'WAV' AS format, 'PCM_16' AS encoding, trunc(rate) AS rate, channels, frames FROM size JOIN r USING (rec_id)")
+def riff_files(spark, d):
+    return _written(spark, d, "files").select("rec_id", "format", "encoding", "rate", "channels", "frames")
+
+
+@query(f"""WITH {_SIG}, {_SIZE}, g AS (SELECT rec_id, c AS channel, unnest(range(0, frames)) AS frame FROM size, unnest(range(0, channels)) t(c))
+SELECT g.rec_id, g.channel::INT AS channel, g.frame, least(greatest(floor(coalesce(x, 0) * 32768)::BIGINT, -32768), 32767) / 32768.0::DOUBLE AS x FROM g LEFT JOIN sig s USING (rec_id, channel, frame)""")
+def riff_samples(spark, d):
+    return _written(spark, d, "samples").select("rec_id", "channel", "frame", "x")
+
+
+@query(f"""WITH {_SIG}, {_SIZE}, {_MARKERS}, m AS (SELECT rec_id, pos, coalesce(span, 0) AS span, nullif(rtrim(label, ' '), '') AS label, nullif(rtrim(text, ' '), '') AS text FROM mk JOIN size USING (rec_id) WHERE pos >= 0 AND pos < 4294967296 AND coalesce(span, 0) >= 0)
+SELECT rec_id, pos, span, label, text, count(*) AS n FROM m GROUP BY ALL""")
+def riff_markers(spark, d):
+    return _written(spark, d, "markers").groupBy("rec_id", "pos", "span", "label", "text").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_SIG}, {_SIZE}, {_MD}, {_LEAF} SELECT rec_id, key, trim(rtrim(arg_max(value, ord), ' ' || chr(0))) AS value FROM leaf JOIN size USING (rec_id) WHERE len(path) = 1 AND path[1] = 'INFO' AND value <> '' GROUP BY rec_id, key""")
+def riff_metadata(spark, d):
+    return _written(spark, d, "metadata").where("path[0] = 'INFO' AND NOT is_section").select("rec_id", "key", F.trim("value").alias("value"))  # GUANO chunks don't keep outer spaces
+
+
+@query(f"""WITH {_SIG}, {_SIZE} SELECT rec_id, frames * channels * 2 AS size FROM size""")
+def riff_chunks(spark, d):
+    return _written(spark, d, "chunks").where("tag = 'DATA'").select("rec_id", "size")

@@ -184,10 +184,10 @@ def _markers(raw: bytes | FileBytes, chunks: list[tuple[str, int, int]], rate: f
                 body = part[at + 12 : at + 8 + n]
                 m = points.get(ident)
                 if m and key.upper() in (b"LABL", b"NOTE"):
-                    m[2] = "|".join(filter(None, (m[2], _label_text(body))))
+                    m[2] = "|".join(filter(None, (m[2], _label_text(body)))) or None
                 elif m and key.upper() == b"LTXT" and len(body) >= 4:
                     m[1] = struct.unpack_from("<I", body)[0]
-                    m[3] = "|".join(filter(None, (m[3], _label_text(body[16:]))))
+                    m[3] = "|".join(filter(None, (m[3], _label_text(body[16:])))) or None
                 at += 8 + n + n % 2
     out = [tuple(m) for m in points.values()]
     for tag, pos, size in chunks:

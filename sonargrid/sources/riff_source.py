@@ -45,6 +45,8 @@ RANGE, SPLIT, MANY = 1 << 18, 32 << 20, 256
 
 def _file_system(path: str) -> tuple[pafs.FileSystem, str, str]:
     """(file system, path on it, what stood before the path)."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/"), ""
     if "://" in path:
         system, at = pafs.FileSystem.from_uri(path)
         return system, at, path[: len(path) - len(at)] if path.endswith(at) else ""

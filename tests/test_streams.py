@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from conftest import rows
 from test_signal import unwrapped
 
@@ -48,3 +49,25 @@ def test_unwrap_over_batches(spark, tmp_path):
     batches = [[(1, 0, i, float(x[i])) for i in range(a, a + 100)] for a in (0, 100, 200)]
     got = drain(streams.unwrap(source(spark, tmp_path / "c", batches, schema)), "unwrapped")
     assert np.allclose([r[3] for r in sorted(got, key=lambda r: r[2])], unwrapped(x, 1.5, 1.0))
+
+
+def test_stream_and_batch_unwrap_alike_with_nulls_and_refuse_disorder(spark, tmp_path):
+    from sonargrid.operators import signal
+
+    y = 1.6 * np.sin(2 * np.pi * 0.02 * np.arange(200))
+    x = y - 2 * np.floor((y + 1) / 2)
+    schema = "rec_id bigint, channel int, frame bigint, x double"
+    data = [(1, 0, i, None if i in (40, 99, 100, 131) else float(x[i])) for i in range(200)]
+    got = drain(streams.unwrap(source(spark, tmp_path / "d", [data[:100], data[100:]], schema)), "nulls")
+    want = rows(signal.unwrap(spark.createDataFrame(data, schema)))
+    assert sorted((r[2], None if r[3] is None or r[3] != r[3] else r[3]) for r in got) == sorted((r[2], r[3]) for r in want)
+    with pytest.raises(Exception, match="in order"):
+        drain(streams.unwrap(source(spark, tmp_path / "e", [data[100:], data[:100]], schema)), "disorder")
+
+
+def test_continuity_by_rate_and_order(spark, tmp_path):
+    schema = "rec_id bigint, file_idx int, start_us bigint, length_us bigint, rate double, channels int"
+    s = 1_000_000
+    batches = [[(1, 0, 0, s, 10.0, 1), (2, 0, 0, s, 10.0, 1)], [(1, 2, s, s, 10.0, 1), (2, 1, s, s, 11.0, 1)], [(1, 1, 2 * s, s, 10.0, 1), (1, 3, 2 * s, s, 10.0, 1)]]
+    got = drain(streams.continuity(source(spark, tmp_path / "f", batches, schema)), "rates")
+    assert [r[:3] for r in got] == [(1, 0, True), (1, 1, False), (1, 2, True), (1, 3, True), (2, 0, True), (2, 1, False)]
