@@ -629,7 +629,7 @@ def riff_markers(spark, d):
 
 @query(f"""WITH {_SIG}, {_SIZE}, {_MD}, {_LEAF} SELECT rec_id, key, trim(rtrim(arg_max(value, ord), ' ' || chr(0))) AS value FROM leaf JOIN size USING (rec_id) WHERE len(path) = 1 AND path[1] = 'INFO' AND value <> '' GROUP BY rec_id, key""")
 def riff_metadata(spark, d):
-    return _written(spark, d, "metadata").where("path[0] = 'INFO' AND NOT is_section").select("rec_id", "key", F.trim("value").alias("value"))  # GUANO chunks don't keep outer spaces
+    return _written(spark, d, "metadata").where("path[0] = 'INFO' AND NOT is_section").select("rec_id", "key", F.regexp_replace("value", r"^ +|[ \x00]+$", "").alias("value"))  # files don't keep outer spaces
 
 
 @query(f"""WITH {_SIG}, {_SIZE} SELECT rec_id, frames * channels * 2 AS size FROM size""")
