@@ -54,8 +54,8 @@ def modify_metadata(m: DataFrame, c: Conversion) -> DataFrame:
     if c.unwrap > 0:
         m = meta.add_unwrap(m, c.unwrap * c.ampl_max, c.ampl_max if c.unwrap_mode == "clip" else 0.0, c.unit)
     if c.remove:
-        m = meta.cleanup(meta.remove(m, c.remove))
-    return meta.add_values(m, c.add) if c.add else m
+        m = meta.cleanup(meta.remove(checkpoint(m), c.remove))  # small; every step reads its input several times
+    return meta.add_values(checkpoint(m), c.add) if c.add else m
 
 
 def modify_markers(k: DataFrame, c: Conversion) -> DataFrame:

@@ -166,12 +166,14 @@ def test_metadata_of_all_files_is_merged(spark, tmp_path):
     assert outputs(tmp_path / "out") == ["A/0-0000.wav", "A/0-0001.wav", "B/0-0000.wav"]
     for i in range(2):
         md = read(tmp_path / "out" / "A" / f"0-000{i}.wav")[0].metadata
+        assert md["BEXT"].pop("CodingHistory").splitlines() == ["A=PCM,F=8000,W=16,M=stereo,T=A/0.wav", f"A=PCM,F=8000,W=16,M=stereo,T=A/0-000{i}.wav"]
         assert md.pop("GUANO", None) and md == {
             "INFO": {"DateTimeOriginal": "2019-01-01T00:00:00", "Title": "second", "Gain": "10.0mV", "Artist": "a", "Comment": "c"},
             "BEXT": {"OriginationDate": "2019-01-01", "OriginationTime": "00:00:00"},
             "Rec": {"Site": "y", "Deep": {"n": "1"}}, "Timestamp": "2019-01-01T00:00:00",
         }
-    assert read(tmp_path / "out" / "B" / "0-0000.wav")[0].metadata == mds[0] | {"INFO": mds[0]["INFO"] | {"Gain": "10.0mV"}}
+    md = read(tmp_path / "out" / "B" / "0-0000.wav")[0].metadata
+    assert len(md["BEXT"].pop("CodingHistory").splitlines()) == 2 and md == mds[0] | {"INFO": mds[0]["INFO"] | {"Gain": "10.0mV"}}
 
 
 def test_files_that_do_not_continue_are_refused(spark, tmp_path):
