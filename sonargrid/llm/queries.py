@@ -43,13 +43,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_bounds(spark: SparkSession, d: str) -> DataFrame:
-    """Whether every source of the mixture keeps within its bounds: its share to 0.01, its repeats, each document once and in its own source."""
+    """Whether every source of the mixture keeps within its bounds: its share, its repeats, each document once and in its own source.
+
+    Flights keep the totals and only the last two documents of a source are landed, so a share may be off by three of the largest documents, besides 0.002.
+    """
     docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
     mixed = mixing.mixture(docs, targets)
     own = docs.select("doc_id", F.lower(F.trim("source")).alias("source")).distinct().withColumn("own", F.lit(True))
     strays = mixed.groupBy("doc_id", "source").agg(F.count("*").alias("n")).join(own, ["doc_id", "source"], "left").groupBy("source").agg(F.count_if(F.expr("own IS NULL OR n > 1")).alias("strays"))
-    got = mixing.shares(mixed, targets).join(strays, "source", "left")
-    return got.select("source", "max_repeats", (F.abs(F.col("share") - F.col("target_share")) <= 0.01).alias("on_target"), (F.col("most_uses") <= F.col("max_repeats")).alias("within_repeats"), (F.col("strays") == 0).alias("own_documents_once"))
+    got = mixing.shares(mixed, targets).join(strays, "source", "left").crossJoin(F.broadcast(mixed.agg((0.002 + 3 * F.max("n_tokens") / F.sum(F.col("n_tokens") * F.col("uses"))).alias("bound"))))  # one row
+    return got.select("source", "max_repeats", (F.abs(F.col("share") - F.col("target_share")) <= F.col("bound")).alias("on_target"), (F.col("most_uses") <= F.col("max_repeats")).alias("within_repeats"), (F.col("strays") == 0).alias("own_documents_once"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
