@@ -71,7 +71,7 @@ _LEAKS = f"""dw AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents WHERE t
 dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM dw WHERE len(w) >= 12),
 ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM iw WHERE len(w) >= 12)"""
 _DRESS = r"""</?[A-Za-z!][^<>]*>|\[/?[A-Za-z*][^\[\]]*\]|&(?:[A-Za-z][A-Za-z0-9_]*|#[0-9]+|#[xX][0-9A-Fa-f]+);"""
-_REMOVED = f"""WITH {_LEAKS}, d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL), l AS (SELECT *, regexp_extract_all(text, '{_DRESS}|[\p{{L}}\p{{N}}]+|(?s:.)') AS toks FROM d),
+_REMOVED = rf"""WITH {_LEAKS}, d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL), l AS (SELECT *, regexp_extract_all(text, '{_DRESS}|[\p{{L}}\p{{N}}]+|(?s:.)') AS toks FROM d),
 t AS (SELECT doc_id, text, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS k FROM l), w AS (SELECT *, row_number() OVER v AS wi FROM t WHERE regexp_matches(tok, '^[\p{{L}}\p{{N}}]') WINDOW v AS (PARTITION BY doc_id, text ORDER BY k)),
 n AS (SELECT *, string_agg(lower(tok), ' ') OVER v AS g, max(k) OVER v AS last, count(*) OVER v AS n FROM w WINDOW v AS (PARTITION BY doc_id, text ORDER BY wi ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)),
 h AS (SELECT doc_id, text, k, max(last) AS last FROM n JOIN (SELECT DISTINCT g FROM ig) USING (g) WHERE n = 12 GROUP BY 1, 2, 3),
